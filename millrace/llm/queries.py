@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe_tree, html_blocks
+from millrace.llm import bpe_tree, html_blocks, pii
 from millrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,19 @@ def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts, and a digest and list of spans."""
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    return pii.find(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *(pii.count(spans, kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS),
+        F.sha2(pii.listing(base), 256).alias("base_sha256"),
+        pii.listing(spans).alias("spans"),
+    )
+
+
 @query
 def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document, as digests."""
