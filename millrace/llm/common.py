@@ -53,3 +53,14 @@ def cut(df: DataFrame) -> DataFrame:
 def words(text):
     """A text's words as an array; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+
+
+def computed(df: DataFrame, **columns) -> DataFrame:
+    """df with the columns added, each computed once for each row.
+
+    They pass through a generator of one row, as the optimizer would move a
+    later filter below a projection, and so write an expression out wherever it
+    is used, into the bodies of lambda functions too. Columns that have the
+    names are replaced.
+    """
+    return df.select(*(c for c in df.columns if c not in columns), F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
