@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe_tree, decision_list, html_blocks, packing, pii
+from millrace.llm import bpe_tree, decision_list, html_blocks, line_winnow, packing, pii
 from millrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op3_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its later repeated lines."""
+    return line_winnow.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLES["op3_line_winnow"] = line_winnow.ORACLE
+
+
 @query
 def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
