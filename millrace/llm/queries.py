@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe_tree, decision_list, fingerprint, html_blocks, line_winnow, packing, pii
+from millrace.llm import bpe_tree, decision_list, fingerprint, html_blocks, line_winnow, packing, pii, sentence_spans
 from millrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,12 @@ def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its later repeated passages."""
+    return sentence_spans.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts, and a digest and list of spans."""
