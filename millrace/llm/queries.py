@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe_tree, decision_list, fingerprint, html_blocks, line_winnow, packing, pii, sentence_spans
+from millrace.llm import bpe_tree, decision_list, fingerprint, html_blocks, line_winnow, order_minhash, packing, pii, sentence_spans
 from millrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,9 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint.likeness(own, edited).alias("near_edited"),
         fingerprint.likeness(own, after).alias("near_next"),
     )
+
+
+@query
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates that each document is in."""
+    return order_minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
