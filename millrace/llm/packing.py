@@ -10,6 +10,7 @@ they stream by, and only the open windows' room is held in memory.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +28,19 @@ GROUP_BYTES = 64 << 20
 GROUP_SPAN = 1 << 40
 #: Distinct words whose ids a worker remembers, and the longest that is remembered; others are encoded anew.
 MEMO_WORDS, MEMO_CHARS = 300_000, 48
+#: The parts of a tokenizer's file for which LATIN gives its pieces.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: The letters and digits of Latin text in lower case. No character of such a text is composed with the next, or changes its length in lower case.
+LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN_TEXT = re.compile("[\x09-\x0d\x20-\x7e\xa1-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u203e]*+")
+LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\x09-\\x0d\\x20{LETTERS}{NUMBERS}]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -68,13 +82,47 @@ class Rooms:
         return room, window
 
 
-class WordIds(dict):
-    """Packed ids of words. It starts anew when full, so its size is bounded."""
+def _byte_characters() -> list[str]:
+    """The printable character that stands for each byte: itself, or from 256 on in order for the others."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in shown else next(others)) for b in range(256)]
+
+
+class PieceIds(dict):
+    """Packed ids of pieces that the pattern matched."""
+
+    def __init__(self, tokenizer):
+        self.tokenize, self.shown = tokenizer.model.tokenize, _byte_characters()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = b"".join(token.id.to_bytes(4, "little") for token in self.tokenize("".join(map(self.shown.__getitem__, piece.encode()))))
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+class TextIds(dict):
+    """Packed ids of texts, with those of words and pieces remembered; they start anew when full, so their size is bounded.
+
+    If the tokenizer lower-cases and then takes the matches of the pattern that
+    LATIN follows, a text of Latin script is taken apart here, and only new
+    pieces go to the library. Of other texts each word, and what may hold an
+    added token, is encoded by the library: it must drop white space and never
+    join what white space parts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = PieceIds(self.tokenizer)
+        with open(path) as file:
+            setting = json.load(file)
+        self.latin = setting["normalizer"] == NORMALIZER and setting["pre_tokenizer"] == PRE_TOKENIZER and not setting["post_processor"]
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: str) -> bytes:
         ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
@@ -84,11 +132,15 @@ class WordIds(dict):
             self[word] = ids
         return ids
 
+    def encode(self, text: str) -> bytes:
+        if self.latin and LATIN_TEXT.fullmatch(text) and not any(token in text for token in self.added):
+            return b"".join(map(self.pieces.__getitem__, LATIN.findall(text.lower())))
+        return b"".join(map(self.__getitem__, WORD.findall(text)))
+
 
 @lru_cache(4)
-def word_ids(path: str) -> WordIds:
-    """For tokenizers that drop white space and never join what it parts: then a text's ids are its words' ids."""
-    return WordIds(path)
+def text_ids(path: str) -> TextIds:
+    return TextIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,11 +150,11 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end, width = word_ids(tokenizer), end_id.to_bytes(4, "little"), 4 * window
+        known, end, width = text_ids(tokenizer), end_id.to_bytes(4, "little"), 4 * window
         for batch in batches:
             which, total, starts, lengths, parts = [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = b"".join(map(known.__getitem__, WORD.findall(text or ""))) + end
+                ids = known.encode(text or "") + end
                 for at in range(0, len(ids), width):
                     part = ids[at : at + width]
                     which.append(row)

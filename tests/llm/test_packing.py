@@ -56,11 +56,14 @@ def test_tree_finds_the_tightest_window(lengths):
         rooms.put(room - n, number)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.one_of(st.text(max_size=80), st.text("aA'sS \t\x1c\x85  ́é9<|endoftext|>ΣİIı", max_size=60)))
+def test_words_are_taken_apart_here():
+    assert packing.text_ids(PATH).latin
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.one_of(st.text(max_size=80), st.text(st.characters(max_codepoint=0x190), max_size=30), st.text("aA'sSdDlLvVeErR1,.!<|> ßµ", max_size=30), st.text("aA'sS \t\x1c\x85  ́é9<|endoftext|>ΣİIı", max_size=60)))
 def test_words_apart_give_the_same_ids(text):
-    known = packing.word_ids(PATH)
-    assert b"".join(map(known.__getitem__, packing.WORD.findall(text))) + END == ids(text)
+    assert packing.text_ids(PATH).encode(text) + END == ids(text)
 
 
 def test_query(spark):
