@@ -27,6 +27,8 @@ from millrace.llm.common import field, small_batches
 LEAF_BYTES = 24
 #: Distinct pieces remembered by a worker, and the longest that is remembered; beyond them pieces are encoded anew.
 MEMO_PIECES, MEMO_CHARS = 300_000, 48
+#: A rank above all.
+NEVER = 1 << 62
 
 
 class Codec:
@@ -44,6 +46,23 @@ class Codec:
 
     def merge(self, data: bytes) -> list[int]:
         """The definition: merge the lowest-ranked adjacent pair, leftmost first, until none is left."""
+        return self._merge_short(data) if len(data) <= 2 * LEAF_BYTES else self._merge_long(data)
+
+    def _merge_short(self, data: bytes) -> list[int]:
+        """By scanning all pairs each time, which is quickest for a word."""
+        get, bounds = self.ranks.get, list(range(len(data) + 1))
+        pairs = [get(data[i : i + 2], NEVER) for i in range(len(data) - 1)]
+        while pairs and (least := min(pairs)) != NEVER:
+            i = pairs.index(least)
+            del pairs[i], bounds[i + 1]
+            if i < len(pairs):
+                pairs[i] = get(data[bounds[i] : bounds[i + 2]], NEVER)
+            if i:
+                pairs[i - 1] = get(data[bounds[i - 1] : bounds[i + 1]], NEVER)
+        return [self.ranks[data[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def _merge_long(self, data: bytes) -> list[int]:
+        """By a queue of pairs."""
         size = len(data)
         end, before = list(range(1, size + 1)), list(range(-1, size))
         ranks, queue = self.ranks, []
