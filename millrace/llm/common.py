@@ -13,6 +13,7 @@ BATCH_ROWS = 1000
 
 #: The word definition of every operator here: runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,26 +34,30 @@ def field(df: DataFrame, name: str) -> T.StructField:
     return T.StructField(found.name, found.dataType, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage, with files that every executor can read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset a
-    temporary one is made, but only when driver and executors are one machine.
+    Where that is unset a temporary one is made, but only when driver and
+    executors are one machine.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="millrace-")
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    known = context._jsc.sc().getCheckpointDir()
+    if not folder and known.isDefined():
+        folder = known.get()
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="millrace-")
+    if not known.isDefined():
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return folder
 
 
-def words(text):
-    """A text's words as an array; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+def cut(df: DataFrame) -> DataFrame:
+    """Computes df once and cuts its lineage, with files in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def computed(df: DataFrame, **columns) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACE, computed
+from millrace.llm.common import BLANKS, SPACE, computed
 
 #: Labelled documents that rules are learned from, at most: those of least hash.
 SAMPLE = 20_000
@@ -28,7 +28,6 @@ PRECISION, SUPPORT = 0.97, 3
 CONDITIONS, RULES = 4, 16
 
 FEATURES = ("n_words", "word_length", "symbols", "dup_lines", "repeats")
-BLANKS = " \t\n\x0b\x0c\r"
 
 
 def _trimmed(text: Column) -> Column:

@@ -12,12 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import SPACE, computed
+from millrace.llm.common import BLANKS, SPACE, computed
 
 GRAM, WINDOW = 5, 10
 #: Text in a bucket of neighbouring documents, in bytes, and buckets at most.
 BUCKET_BYTES, BUCKETS = 16 << 20, 8192
-BLANKS = " \t\n\x0b\x0c\r"
 LEAST = -(1 << 63)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe_tree, decision_list, fingerprint, html_blocks, line_winnow, order_minhash, packing, pii, sentence_spans
+from millrace.llm import bpe_tree, decision_list, fingerprint, html_blocks, line_winnow, order_minhash, packing, pii, sentence_spans, suffix_tree
 from millrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,12 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's log probability, by single words and by the suffix tree."""
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts, and a digest and list of spans."""
