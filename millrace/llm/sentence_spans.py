@@ -12,10 +12,10 @@ only, and so fall alike in every copy.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,108 +32,116 @@ LONG, REACH = 10, 3
 OUT_ROWS = 50_000
 LAST = (1 << 63) - 1
 
-END = re.compile(r"[.!?…]+[\"'”»)\]]*[\x20\x09-\x0D]+|[。！？]+|\n[\x20\x09-\x0D]*")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-@lru_cache(200_000)
-def _hash(word: str) -> int:
-    return zlib.crc32(word.encode())
-
-
-def _cuts(words: list[str]) -> list[int]:
-    """Places in a long sentence that start a new unit."""
-    h = list(map(_hash, words))
-    return [i for i in range(REACH, len(h) - REACH) if h[i] < h[i - 1] and h[i] < h[i + 1] and h[i] < min(h[i - REACH : i - 1]) and h[i] < min(h[i + 2 : i + REACH + 1])]
-
-
-def units(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of each sentence or part of one; they tile the text, and each has a word if the text has one."""
-    out: list[tuple[int, int, list[str]]] = []
-    at = 0
-    for end in [*(m.end() for m in END.finditer(text)), len(text)]:
-        if end == at:
-            continue
-        words = WORD.findall(text, at, end)
-        if not words:  # white space alone goes with what is before it
-            if out:
-                out[-1] = (out[-1][0], end, out[-1][2])
-                at = end
-            continue
-        if len(words) > LONG and (cuts := _cuts(words)):
-            starts = [m.start() for m in WORD.finditer(text, at, end)]
-            for a, b in zip([0, *cuts], [*cuts, len(words)], strict=True):
-                out.append((at if a == 0 else starts[a], starts[b] if b < len(words) else end, words[a:b]))
-        else:
-            out.append((at, end, words))
-        at = end
-    return out
-
-
-def runs(found: list[tuple[int, int, list[str]]]) -> Iterator[tuple[int, int, int]]:
-    """(hash, first, last + 1) of the shortest long enough run from each unit on."""
-    sizes = [len(words) for *_, words in found]
-    texts = [" ".join(words) for *_, words in found]
-    stop, count = 0, 0
-    for start in range(len(found)):
-        while stop < len(found) and (stop - start < RUN or count < WORDS):
-            count += sizes[stop]
-            stop += 1
-        if stop - start < RUN or count < WORDS:
-            return
-        h = xxhash.xxh3_64_intdigest("\n".join(texts[start:stop]))
-        yield h - (1 << 64) if h >> 63 else h, start, stop
-        count -= sizes[start]
+#: A word that ends a sentence ends so; so does the last word of a line.
+END = re.compile(r"[.!?…。！？][\"'”»)\]]*\Z")
+CLOSING = frozenset(".!?…。！？\"'”»)]")
+BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2**64."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        factors = np.full(size, base, np.uint64)
+        factors[:1] = 1
+        out.append(np.multiply.accumulate(factors))
+    return out[0], out[1]
+
+
+def units(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of a text's words, and the numbers of the words that begin a sentence or part of one."""
+    words: list[str] = []
+    ends: list[int] = []
+    for line in text.split("\n"):
+        if found := WORD.findall(line):
+            at = len(words) + 1
+            ends += [i for i, w in enumerate(found, at) if w[-1] in CLOSING and END.search(w)]
+            words += found
+            if not ends or ends[-1] != len(words):
+                ends.append(len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    stops = np.array(ends, np.int64)
+    starts = np.concatenate([[0], stops[:-1]]) if len(stops) else stops
+    sizes = stops - starts
+    long = np.flatnonzero(sizes > LONG)
+    if len(long):
+        low = np.ones(len(h), bool)
+        for step in range(1, REACH + 1):
+            low[step:] &= h[step:] < h[:-step]
+            low[:-step] &= h[:-step] < h[step:]
+        change = np.zeros(len(h) + 1, np.int64)  # words that have REACH others of their long sentence on each side
+        np.add.at(change, starts[long] + REACH, 1)
+        np.add.at(change, stops[long] - REACH, -1)
+        low &= np.cumsum(change[:-1]) > 0
+        starts = np.sort(np.concatenate([starts, np.flatnonzero(low)]))
+    return h, starts
+
+
+def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first, last + 1) of the shortest long enough run from each unit on, as far as there is one."""
+    h, starts = units(text)
+    edges = np.append(starts, len(h))
+    first = np.arange(len(starts))
+    stop = np.maximum(first + RUN, np.searchsorted(edges, starts + WORDS))
+    fits = stop < len(edges)
+    first, stop = first[fits], stop[fits]
+    power, inverse = _powers(1 << max(12, int(len(h)).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)])])
+    a, b = edges[first], edges[stop]
+    mixed = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed ^ (mixed >> np.uint64(32))).astype(np.int64), first, stop
 
 
 RUN_SCHEMA = "doc long, mark long, hash long, start int, stop int"
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-    rows: tuple[list, ...] = ([], [], [], [], [])
+    kinds = {"doc": pa.int64(), "mark": pa.int64(), "hash": pa.int64(), "start": pa.int32(), "stop": pa.int32()}
+    held: list[tuple] = []
+    size = 0
+
+    def hand_on() -> pa.RecordBatch:
+        counts = [len(x[2]) for x in held]
+        columns = [np.repeat([x[k] for x in held], counts) for k in (0, 1)] + [np.concatenate([x[k] for x in held]) for k in (2, 3, 4)]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
     for batch in batches:
         for doc, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            n = len(rows[0])
-            for h, start, stop in runs(units(text)):
-                rows[2].append(h)
-                rows[3].append(start)
-                rows[4].append(stop)
-            rows[0].extend([doc] * (len(rows[2]) - n))
-            rows[1].extend([mark] * (len(rows[2]) - n))
-            if len(rows[0]) >= OUT_ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
-                rows = ([], [], [], [], [])
-    if rows[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
-
-
-def strip(text: str | None, gone: list[dict] | None) -> tuple[str | None, int, int, int]:
-    """The text without the units in the ranges gone, its units, and the units and words that went."""
-    found = units(text or "")
+            held.append((doc, mark, *runs(text)))
+            size += len(held[-1][2])
+            if size >= OUT_ROWS:
+                yield hand_on()
+                held, size = [], 0
+    if size:
+        yield hand_on()
+
+
+def strip(text: str | None, gone: list[dict] | None) -> tuple[str | None, int, int]:
+    """The text without the units in the ranges gone, and the units and words that went. White space goes with the word before it."""
     if not gone:
-        return text, len(found), 0, 0
-    change = [0] * (len(found) + 1)
+        return text, 0, 0
+    h, starts = units(text)
+    change = np.zeros(len(starts) + 1, np.int64)
     for r in gone:
         change[r["start"]] += 1
         change[r["stop"]] -= 1
-    kept, depth, lost, words = [], 0, 0, 0
-    for k, (start, end, own) in enumerate(found):
-        depth += change[k]
-        if depth:
-            lost += 1
-            words += len(own)
-        else:
-            kept.append(text[start:end])
-    return "".join(kept), len(found), lost, words
+    lost = np.cumsum(change[:-1]) > 0
+    places = [m.start() for m in WORD.finditer(text)]
+    places[0] = 0
+    edges = [places[k] for k in starts] + [len(text)]
+    sizes = np.diff(np.append(starts, len(h)))
+    return "".join(text[edges[k] : edges[k + 1]] for k in np.flatnonzero(~lost)), int(lost.sum()), int(sizes[lost].sum())
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, n_sentences, n_removed, removed_words) of every row, the text without later repeats.
+    """(id, text, n_removed, removed_words) of every row, the text without later repeats.
 
     First is what comes first by id, then by a hash of the text, then in the
     text; null ids come last. Rows equal in id and text count as one document.
-    A null text stays null; it and an empty one have no sentences. Other columns
+    A null text stays null. Other columns
     are ignored. An empty table gives an empty table.
     """
     named = small_batches(docs).select(F.col(id_col), F.col(text_col), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("mark"))
@@ -146,8 +154,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [strip(text, gone) for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            texts, *counts = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], names=[id_col, text_col, "n_sentences", "n_removed", "removed_words"])
+            texts, *counts = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], names=[id_col, text_col, "n_removed", "removed_words"])
 
-    counts = [T.StructField(n, T.LongType()) for n in ("n_sentences", "n_removed", "removed_words")]
+    counts = [T.StructField(n, T.LongType()) for n in ("n_removed", "removed_words")]
     return marked.mapInArrow(run, T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(text_col, T.StringType()), *counts]))
