@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +40,6 @@ SEEDS = _rng.integers(0, 1 << 63, REPEATS, dtype=np.uint64)
 FACTORS = _rng.integers(0, 1 << 62, REPEATS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(300_000)
-def _word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -53,7 +47,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def grams(text: str | None) -> np.ndarray:
     """64-bit hashes of the text's word 5-grams in order; one of all words if they are fewer, none if there is no word."""
-    words = np.fromiter(map(_word_hash, WORD.findall(text or "")), np.uint64)
+    words = np.fromiter(map(xxhash.xxh3_64_intdigest, WORD.findall(text or "")), np.uint64)
     n = max(1, len(words) - GRAM + 1) if len(words) else 0
     out = np.full(n, min(len(words), GRAM), np.uint64)
     for k in range(min(GRAM, len(words))):
