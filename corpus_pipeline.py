@@ -30,7 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated lines go, and documents that have no word left."""
-    found = line_winnow.deduplicate(docs).select(*docs.columns)
+    found = line_winnow.deduplicate(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
+    found = found.select(*(F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))
     return _resized(found.filter(F.trim("text", F.lit(BLANKS)) != ""))
 
 

@@ -256,6 +256,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row of each class, with all columns: one of the class's least id, then of the least hash of its text."""
     found = classes(docs, id_col, text_col)
     first = found.groupBy("group").agg(F.min(F.struct(F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)).alias("_id"), F.col("node").alias("_node"))).alias("f")).select("f._id", "f._node")
-    marked = docs.withColumn("_id", F.coalesce(F.col(id_col), F.lit((1 << 63) - 1))).withColumn("_node", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)).alias("_id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("_node"))
     once = Window.partitionBy("_node", "_id").orderBy(F.lit(0))
-    return marked.join(first, ["_node", "_id"], "left_semi").withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_id", "_node", "_n")
+    return marked.join(first, ["_node", "_id"], "left_semi").withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("_row.*")

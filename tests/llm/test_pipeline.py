@@ -39,14 +39,15 @@ def test_stages_keep_columns_and_bear_nulls(spark, tmp_path):
 
     words = " ".join(f"w{i}" for i in range(40))
     rows = [(1, words, "x"), (1, words, "x"), (None, words + " end", None), (2, None, "y"), (3, "", "z"), (4, words.upper() + " me@x.org", "k")]
-    spark.createDataFrame(rows, "doc_id long, text string, n_words string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(*r, 7, "clash") for r in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, n_words string, n_lines int, _id string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         columns = docs.columns
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == columns
-    assert sorted((r.doc_id, r.text[-10:], r.n_words) for r in docs.collect()) == [(1, words[-10:], "x"), (4, "39 [EMAIL]", "k")]
+    assert sorted((r.doc_id, r.text[-10:], r.n_words, r.n_lines, r["_id"]) for r in docs.collect()) == [(1, words[-10:], "x", 7, "clash"), (4, "39 [EMAIL]", "k", 7, "clash")]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 2
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0), str(tmp_path)).count() == 0
