@@ -4,8 +4,8 @@ A text's grams are its runs of five words, each labelled with how often it has
 occurred before. For each of REPEATS hash functions the PICKS grams of least hash
 are taken in the order of the text; texts that agree in one such tuple are
 candidates. The chance of that falls with the edit distance, not only with the
-overlap. In each bucket of equal tuples every text is compared with the bucket's
-first, never all with all. A candidate pair is alike if the edit distance of its
+overlap. In each bucket of equal tuples every text is compared with two texts
+drawn by hash, others in each bucket, never all with all. A candidate pair is alike if the edit distance of its
 gram sequences, computed within a band, is at most 0.2 of the longer. Pairs of
 a five-gram overlap of 0.8 have at most 0.2 of such edits, unless text moved.
 
@@ -208,17 +208,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(node, node_id, pivot, pivot_id, shared): each text with the first of each bucket it is in.
+    """(node, node_id, pivot, pivot_id, shared): each text with the two drawn in each bucket it is in.
 
     Pairs whose lengths alone forbid enough likeness are left out.
     """
     sketched = nodes.select("id", "node", "text").mapInArrow(_sketched, "id " + nodes.schema["id"].dataType.simpleString() + ", node binary, n long, sketch array<long>")
     single = cut(sketched.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     rows = single.select("node", "id", "n", F.explode("sketch").alias("bucket"))
-    first = rows.groupBy("bucket").agg(F.min(F.struct("node", "id", "n")).alias("first"), F.count("*").alias("size")).filter("size > 1").select("bucket", "first")
-    near = (F.col("n") >= SIMILARITY * F.col("first.n") - 1e-6) & (F.col("first.n") >= SIMILARITY * F.col("n") - 1e-6)
-    pairs = rows.join(first, "bucket").filter((F.col("node") != F.col("first.node")) & near)
-    return pairs.groupBy("node", F.col("first.node").alias("pivot")).agg(F.min("id").alias("node_id"), F.min("first.id").alias("pivot_id"), F.count("*").alias("shared"))
+    drawn = [F.min(F.struct(F.xxhash64(*order).alias("h"), "node", "id", "n")) for order in (("node", "bucket"), ("bucket", "node"))]
+    two = rows.groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("drawn"), F.count("*").alias("size")).filter("size > 1").select("bucket", "drawn")
+    met = rows.join(two, "bucket").select("node", "id", "n", F.explode("drawn").alias("other"))
+    near = (F.col("n") >= SIMILARITY * F.col("other.n") - 1e-6) & (F.col("other.n") >= SIMILARITY * F.col("n") - 1e-6)
+    pairs = met.filter((F.col("node") != F.col("other.node")) & near)
+    return pairs.groupBy("node", F.col("other.node").alias("pivot")).agg(F.min("id").alias("node_id"), F.min("other.id").alias("pivot_id"), F.count("*").alias("shared"))
 
 
 def near_links(nodes: DataFrame) -> DataFrame | None:
