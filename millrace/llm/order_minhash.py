@@ -4,15 +4,19 @@ A text's grams are its runs of five words, each labelled with how often it has
 occurred before. For each of REPEATS hash functions the PICKS grams of least hash
 are taken in the order of the text; texts that agree in one such tuple are
 candidates. The chance of that falls with the edit distance, not only with the
-overlap. In each bucket of equal tuples every text is compared with two texts
-drawn by hash, others in each bucket, never all with all. A candidate pair is alike if the edit distance of its
+overlap. In each bucket of equal tuples every text is first compared with two
+texts drawn by hash, others in each bucket; then, in buckets that hold texts of
+several components, all pairs of different components are compared, in blocks.
+So every pair that shares a tuple is verified or in one class. Before texts are
+fetched, profiles (how many grams fall into each of PROFILE cells) rule out pairs
+that differ too much in any order. A candidate pair is alike if the edit distance of its
 gram sequences, computed within a band, is at most 0.2 of the longer. Pairs of
 a five-gram overlap of 0.8 have at most 0.2 of such edits, unless text moved.
 
 Exact copies are one node from the start. Classes are the connected components
 of verified pairs. Each text is first compared with the partner it shares most
-tuples with; of its other candidates only those in another component are
-compared.
+tuples with, and later with the one that has most partners; of its other
+candidates only those in another component are compared.
 """
 
 from __future__ import annotations
@@ -34,6 +38,10 @@ from millrace.llm.sentence_spans import WORD
 GRAM, REPEATS, PICKS, SIMILARITY = 5, 32, 3, 0.8
 #: Texts of more grams are hashed function by function, to bound memory.
 WIDE = 4096
+#: Cells of a profile, and about how many of a bucket's texts are compared with each other in one block.
+PROFILE, BLOCK = 256, 128
+
+PAIR = ["node", "node_id", "pivot", "pivot_id"]
 
 _rng = np.random.default_rng(20)
 SEEDS = _rng.integers(0, 1 << 63, REPEATS, dtype=np.uint64)
@@ -156,14 +164,77 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return small_batches(docs).select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("node"))
 
 
+def profile(found: np.ndarray) -> bytes:
+    """How many grams fall into each cell, 255 at most."""
+    return np.minimum(np.bincount((found % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes()
+
+
+def may_be_alike(n: np.ndarray, p: np.ndarray, other_n: np.ndarray, other_p: np.ndarray) -> np.ndarray:
+    """False where lengths and profiles (one row each, or one for all) alone forbid enough likeness."""
+    band = (np.maximum(n, other_n) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    more = p.astype(np.int16) - other_p
+    return (np.abs(n - other_n) <= band) & (np.maximum(more, 0).sum(axis=-1) <= band) & (np.maximum(-more, 0).sum(axis=-1) <= band)
+
+
+def _profiles(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PROFILE)
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, sketches = [], []
+        sizes, sketches, profiles = [], [], []
         for text in batch.column(2).to_pylist():
             found = grams(text)
             sizes.append(len(found))
             sketches.append(sketch(found))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "node", "n", "sketch"])
+            profiles.append(profile(found))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(profiles, pa.binary())], names=["id", "node", "n", "sketch", "profile"])
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, p, other_n, other_p = (batch[k] for k in ("n", "profile", "other_n", "other_profile"))
+        yield batch.select(PAIR).filter(pa.array(may_be_alike(n.to_numpy(), _profiles(p), other_n.to_numpy(), _profiles(other_p))))
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each block that may be alike, are of different roots and share no earlier tuple. Rows come by block."""
+    kept = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+        kept = None
+        block = np.stack([rows[k].to_numpy() for k in ("bucket", "i", "j")])
+        last = int(np.flatnonzero(np.append(True, (block[:, 1:] != block[:, :-1]).any(axis=0)))[-1]) if rows.num_rows else 0
+        kept = rows.slice(last)
+        yield from _compared(rows.slice(0, last))
+    if kept is not None:
+        yield from _compared(kept)
+
+
+def _compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    if not rows.num_rows:
+        return
+    block = np.stack([rows[k].to_numpy() for k in ("bucket", "i", "j")])
+    starts = np.flatnonzero(np.append(True, (block[:, 1:] != block[:, :-1]).any(axis=0)))
+    n, r, slot = (rows[k].to_numpy() for k in ("n", "r", "slot"))
+    root = np.unique(np.array([x.hex() for x in rows["root"].to_pylist()]), return_inverse=True)[1]
+    sketches = rows["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, REPEATS)
+    profiles = _profiles(rows["profile"])
+    for start, end in zip(starts, [*starts[1:], len(n)], strict=True):
+        left, right = [], []
+        same = block[1, start] == block[2, start]
+        for a in range(start, end - 1):
+            c = np.arange(a + 1, end)
+            ok = (root[c] != root[a]) & (same | (slot[c] != slot[a])) & (np.abs(n[c] - n[a]) <= np.maximum(n[c], n[a]) * (1 - SIMILARITY) + 1e-9)
+            c = c[ok]
+            c = c[~(sketches[c, : r[a]] == sketches[a, : r[a]]).any(axis=1)]
+            if len(c):
+                c = c[may_be_alike(n[c], profiles[c], n[a], profiles[a])]
+                left.append(np.full(len(c), a))
+                right.append(c)
+        if left:
+            one, two = (rows.select(["node", "id"]).take(pa.array(np.concatenate(x))) for x in (left, right))
+            yield from pa.table([*one.columns, *two.columns], names=PAIR).to_batches()
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,14 +250,20 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (node, pivot) whose texts are alike. texts: id, text, node; pairs carry the id that has the text."""
-    own = texts.select(F.col("id").alias("node_id"), "node", F.col("text").alias("left"))
-    other = texts.select(F.col("id").alias("pivot_id"), F.col("node").alias("pivot"), F.col("text").alias("right"))
-    both = pairs.join(own, (pairs["node"] == own["node"]) & pairs["node_id"].eqNullSafe(own["node_id"])).select(pairs["node"], "pivot", "pivot_id", "left")
-    full = both.join(other, (both["pivot"] == other["pivot"]) & both["pivot_id"].eqNullSafe(other["pivot_id"])).select("node", both["pivot"], "left", "right")
+    """The pairs (node, pivot) whose texts are alike. texts: node, text, a row for each node."""
+    own = texts.select("node", F.col("text").alias("left"))
+    other = texts.select(F.col("node").alias("pivot"), F.col("text").alias("right"))
+    full = pairs.select("node", "pivot").join(own, "node").join(other, "pivot").select("node", "pivot", "left", "right")
     return full.mapInArrow(_verified, "node binary, pivot binary").distinct()
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    """As cut, without the size that the checkpoint hands on: a product over joins, it would double its digits in each round."""
+    found = cut(df)._jdf
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(found.queryExecution().toRdd(), found.schema(), False), session)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node in links (node, pivot): root is the least node that it is connected to.
 
@@ -194,48 +271,112 @@ def components(links: DataFrame) -> DataFrame:
     label, until nothing changes; rounds follow the logarithm of a component's
     diameter.
     """
-    both = cut(links.select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(links.select("pivot", "node")))
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root")))
+    both = _plain(links.select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(links.select("pivot", "node")))
+    labels = _plain(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         lower = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("next"))
-        moved = cut(lower.join(jump, "low").select("node", "root", F.least("low", "next").alias("low")))
+        moved = _plain(lower.join(jump, "low").select("node", "root", F.least("low", "next").alias("low")))
         changed = not moved.filter("low < root").isEmpty()
         labels = moved.select("node", F.col("low").alias("root"))
         if not changed:
             return labels
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
+def sketched(nodes: DataFrame) -> DataFrame:
+    """A row for each node: id, the least one, n, sketch and profile."""
+    found = nodes.select("id", "node", "text").mapInArrow(_sketched, "id " + nodes.schema["id"].dataType.simpleString() + ", node binary, n long, sketch array<long>, profile binary")
+    return found.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("profile").alias("profile"))
+
+
+def _pair_schema(single: DataFrame) -> str:
+    kind = single.schema["id"].dataType.simpleString()
+    return f"node binary, node_id {kind}, pivot binary, pivot_id {kind}"
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair once, the lesser node first."""
+    turned = F.col("node") > F.col("pivot")
+    one, two = F.struct("node", F.col("node_id").alias("id")), F.struct(F.col("pivot").alias("node"), F.col("pivot_id").alias("id"))
+    both = pairs.select(F.when(turned, two).otherwise(one).alias("x"), F.when(turned, one).otherwise(two).alias("y"))
+    return both.select(F.col("x.node").alias("node"), F.col("x.id").alias("node_id"), F.col("y.node").alias("pivot"), F.col("y.id").alias("pivot_id"))
+
+
+def candidates(single: DataFrame) -> DataFrame:
     """(node, node_id, pivot, pivot_id, shared): each text with the two drawn in each bucket it is in.
 
-    Pairs whose lengths alone forbid enough likeness are left out.
+    Pairs whose lengths or profiles alone forbid enough likeness are left out.
     """
-    sketched = nodes.select("id", "node", "text").mapInArrow(_sketched, "id " + nodes.schema["id"].dataType.simpleString() + ", node binary, n long, sketch array<long>")
-    single = cut(sketched.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     rows = single.select("node", "id", "n", F.explode("sketch").alias("bucket"))
     drawn = [F.min(F.struct(F.xxhash64(*order).alias("h"), "node", "id", "n")) for order in (("node", "bucket"), ("bucket", "node"))]
     two = rows.groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("drawn"), F.count("*").alias("size")).filter("size > 1").select("bucket", "drawn")
     met = rows.join(two, "bucket").select("node", "id", "n", F.explode("drawn").alias("other"))
     near = (F.col("n") >= SIMILARITY * F.col("other.n") - 1e-6) & (F.col("other.n") >= SIMILARITY * F.col("n") - 1e-6)
-    pairs = met.filter((F.col("node") != F.col("other.node")) & near)
-    return pairs.groupBy("node", F.col("other.node").alias("pivot")).agg(F.min("id").alias("node_id"), F.min("other.id").alias("pivot_id"), F.count("*").alias("shared"))
+    pairs = _ordered(met.filter((F.col("node") != F.col("other.node")) & near).select("node", F.col("id").alias("node_id"), F.col("other.node").alias("pivot"), F.col("other.id").alias("pivot_id")))
+    counted = pairs.groupBy("node", "pivot").agg(F.min("node_id").alias("node_id"), F.min("pivot_id").alias("pivot_id"), F.count("*").alias("shared"))
+    other = single.select(F.col("node").alias("pivot"), F.col("n").alias("other_n"), F.col("profile").alias("other_profile"))
+    both = counted.join(single.select("node", "n", "profile"), "node").join(other, "pivot").select(*PAIR, "shared", "n", "profile", "other_n", "other_profile")
+    likely = both.drop("shared").mapInArrow(_likely, _pair_schema(single))
+    return likely.join(counted.select("node", "pivot", "shared"), ["node", "pivot"])
 
 
-def near_links(nodes: DataFrame) -> DataFrame | None:
-    """Verified links (node, pivot) that connect what any candidate pair connects; None if there is no candidate."""
-    pairs = cut(candidates(nodes))
+def _rooted(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
+    """nodes with root, the component that each is in."""
+    if links is None:
+        return nodes.withColumn("root", F.col("node"))
+    return nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def unmet(single: DataFrame, links: DataFrame | None) -> DataFrame:
+    """(node, node_id, pivot, pivot_id): all texts that share a tuple, may be alike, and are in different components.
+
+    A bucket is dealt into slots; a block is two slots, or one with itself, so a
+    large bucket is the work of many tasks.
+    """
+    rows = _rooted(single.select("node", "sketch"), links).select("node", "root", F.posexplode("sketch").alias("r", "bucket"))
+    mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).alias("slots")).filter("low < high").select("bucket", "slots")
+    met = rows.join(mixed, "bucket").withColumn("slot", F.pmod(F.xxhash64("node"), "slots")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
+    blocks = met.select("node", "root", "r", "bucket", "slot", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j")).join(single, "node")
+    dealt = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return _ordered(dealt.mapInArrow(_block_pairs, _pair_schema(single)))
+
+
+def _linked(pairs: DataFrame, weight: str | None, links: DataFrame | None, nodes: DataFrame) -> DataFrame | None:
+    """links and more verified ones, which connect what any of the pairs connects. Pairs are ordered; None is no link.
+
+    Each text's best pair, by weight or else the partner's number of pairs, comes first.
+    """
     if pairs.isEmpty():
-        return None
-    best = pairs.groupBy("node").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"))
-    links = cut(_verify(pairs.join(best, ["node", "pivot"], "left_semi"), nodes))
-    rest = pairs.join(best, ["node", "pivot"], "left_anti")
-    if not links.isEmpty():
-        found = components(links)
+        return links
+    ends = pairs.select("node", F.col("node_id").alias("id")).union(pairs.select("pivot", "pivot_id")).distinct()
+    wanted = ends.select(F.col("node").alias("_node"), F.col("id").alias("_id"))
+    texts = cut(nodes.join(wanted, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("node", "text").dropDuplicates(["node"]))
+    sides = pairs.select("node", "pivot", *([weight] if weight else [])).union(pairs.select("pivot", "node", *([weight] if weight else [])))
+    if not weight:
+        weight = "pairs"
+        sides = sides.join(sides.groupBy(F.col("node").alias("pivot")).agg(F.count("*").alias(weight)), "pivot")
+    best = cut(sides.groupBy("node").agg(F.max_by("pivot", F.struct(weight, "pivot")).alias("pivot")).select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot")).distinct())
+
+    def also(found: DataFrame) -> DataFrame | None:
+        found = cut(found)
+        return links if found.isEmpty() else found if links is None else links.union(found)
+
+    links = also(_verify(best, texts))
+    rest = pairs.select("node", "pivot").join(best, ["node", "pivot"], "left_anti")
+    if links is not None:
+        found = cut(components(links))
         rest = rest.join(found, "node", "left").withColumnRenamed("root", "own").join(found.select(F.col("node").alias("pivot"), "root"), "pivot", "left").filter("own IS NULL OR root IS NULL OR own <> root")
-    more = cut(_verify(rest, nodes))
-    return links.union(more)
+    return also(_verify(rest.select("node", "pivot"), texts))
+
+
+def near_links(nodes: DataFrame) -> DataFrame | None:
+    """Verified links (node, pivot) that connect all texts that share a tuple and are alike; None if there is none."""
+    single = cut(sketched(nodes))
+    drawn = cut(candidates(single))
+    links = _linked(drawn, "shared", None, nodes)
+    others = cut(unmet(single, links).join(drawn.select("node", "pivot"), ["node", "pivot"], "left_anti"))
+    return _linked(others, None, links, nodes)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

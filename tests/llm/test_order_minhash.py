@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -95,6 +96,57 @@ def test_classes(spark):
     assert {r.doc_id for r in kept} == {r.class_id for r in found}
 
 
+def versions(seed, count):
+    """A text of 3000 words, and versions with nine passages of 58 new words: each alike to the text, not to each other."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    rows = [" ".join(base)]
+    for v in range(count):
+        words = list(base)
+        for at in sorted(rng.sample(range(3000), 9), reverse=True):
+            words[at:at] = [f"v{v}x{rng.randrange(10**6)}" for _ in range(58)]
+        rows.append(" ".join(words))
+    return rows
+
+
+def test_all_that_share_a_bucket_are_compared(spark):
+    texts = versions(5, 150)
+    assert om.alike(om.grams(texts[0]), om.grams(texts[1])) and not om.alike(om.grams(texts[2]), om.grams(texts[1]))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(8)
+    nodes = om._nodes(docs, "doc_id", "text")
+    sketches = [set(om.sketch(om.grams(t)).tolist()) for t in texts]
+    meets = [i for i, s in enumerate(sketches) if s & sketches[0]]
+    found = {r.doc_id: r.class_id for r in om.classes(docs).collect()}
+    assert len(meets) > 130 and {found[i] for i in meets} == {0}
+    old, om.BLOCK = om.BLOCK, 16
+    try:
+        pairs = [(bytes(r.node), bytes(r.pivot)) for r in om.unmet(om.cut(om.sketched(nodes)), None).collect()]
+    finally:
+        om.BLOCK = old
+    number = {hashlib.md5(t.encode()).digest(): i for i, t in enumerate(texts)}
+    want = set()
+    for a in range(len(texts)):
+        for b in range(a):
+            if sketches[a] & sketches[b]:
+                want.add((a, b))
+    got = [tuple(sorted((number[x], number[y]), reverse=True)) for x, y in pairs]
+    assert len(got) == len(set(got)) and set(got) <= want
+    assert {(i, 0) for i in meets if i} <= set(got)
+
+
+def test_profiles_forbid_no_alike_pair():
+    rng = random.Random(6)
+    alike = 0
+    for _ in range(400):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(5, 200))]
+        a, b = (om.grams(" ".join(edited(rng, base, rng.randrange(6)))) for _ in range(2))
+        if om.alike(a, b):
+            alike += 1
+            p, q = (np.frombuffer(om.profile(x), np.uint8) for x in (a, b))
+            assert om.may_be_alike(np.int64(len(a)), p, np.int64(len(b)), q)
+    assert alike > 50
+
+
 def test_few_and_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert om.classes(docs).count() == om.keep_first(docs).count() == 0
