@@ -10,8 +10,9 @@ several components, all pairs of different components are compared, in blocks.
 So every pair that shares a tuple is verified or in one class. Before texts are
 fetched, profiles (how many grams fall into each of PROFILE cells) rule out pairs
 that differ too much in any order. A candidate pair is alike if the edit distance of its
-gram sequences, computed within a band, is at most 0.2 of the longer. Pairs of
-a five-gram overlap of 0.8 have at most 0.2 of such edits, unless text moved.
+gram sequences, computed within a band, is at most 0.2 of the longer, or if their
+overlap (Jaccard, repeated grams counted) is at least 0.8: that allows up to 2/9
+of such edits where one place is deleted and another inserted.
 
 Exact copies are one node from the start. Classes are the connected components
 of verified pairs. Each text is first compared with the partner it shares most
@@ -147,14 +148,17 @@ def banded_distance(a: Sequence, b: Sequence, band: int) -> int:
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two gram sequences' edit distance is at most 1 - SIMILARITY of the longer one."""
+    """Whether two gram sequences' edit distance is at most 1 - SIMILARITY of the longer one, or their overlap at least SIMILARITY."""
     longest = max(len(a), len(b))
     band = int(longest * (1 - SIMILARITY) + 1e-9)
     if abs(len(a) - len(b)) > band:
         return False
     x, y = a.tolist(), b.tolist()
-    if longest - sum((Counter(x) & Counter(y)).values()) > band:  # what they share in any order bounds what aligns
+    common = sum((Counter(x) & Counter(y)).values())
+    if longest - common > band:  # what they share in any order bounds what aligns
         return False
+    if common and common >= SIMILARITY * (len(a) + len(b) - common) - 1e-9:
+        return True
     return banded_distance(x, y, band) <= band
 
 

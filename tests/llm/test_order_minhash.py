@@ -134,6 +134,15 @@ def test_all_that_share_a_bucket_are_compared(spark):
     assert {(i, 0) for i in meets if i} <= set(got)
 
 
+def test_overlap_with_a_deletion_and_an_insertion_elsewhere():
+    for size, moved in ((904, 100), (95, 10)):
+        words = [f"w{i}" for i in range(size)]
+        a, b = om.grams(" ".join(words)), om.grams(" ".join(words[moved:] + [f"n{i}" for i in range(moved)]))
+        common = len(set(a.tolist()) & set(b.tolist()))
+        assert common >= 0.8 * (2 * len(a) - common) and om.banded_distance(a.tolist(), b.tolist(), len(a)) > 0.2 * len(a)
+        assert om.alike(a, b)
+
+
 def test_profiles_forbid_no_alike_pair():
     rng = random.Random(6)
     alike = 0
