@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.llm.common import field, small_batches
+from millrace.llm.common import field, sliced
 
 #: Pieces of at most so many bytes are leaves of the tree.
 LEAF_BYTES = 24
@@ -174,12 +174,12 @@ def encode(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, find = _loaded(vocab), _pattern(pattern).findall
-        for batch in batches:
+        for batch in sliced(batches):
             packed = [b"".join(map(memo.__getitem__, find(text or ""))) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), list_array(packed)], names=[id_col, "ids"])
 
     schema = T.StructType([field(docs, id_col), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocab: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -187,10 +187,10 @@ def decode(encoded: DataFrame, vocab: str, ids_col: str = "ids", out_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _loaded(vocab).codec
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.get_field_index(ids_col)
             data = [codec.decode(ids or []) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=[*batch.schema.names, out_col])
 
     schema = T.StructType([*encoded.schema.fields, T.StructField(out_col, T.BinaryType())])
-    return small_batches(encoded).mapInArrow(run, schema)
+    return encoded.mapInArrow(run, schema)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows handed to a Python worker at once: texts are long, so far fewer than Spark's 10,000.
+#: Rows that a Python worker takes from a batch at once: texts are long, so far fewer than a batch holds.
 BATCH_ROWS = 1000
 
 #: The word definition of every operator here: runs of anything but ASCII white space.
@@ -20,12 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Lowers Arrow's batch size if the session still has Spark's default."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key, "10000") == "10000":
-        conf.set(key, str(BATCH_ROWS))
-    return df
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of BATCH_ROWS, which bounds the Python objects made of one."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
 
 
 def field(df: DataFrame, name: str) -> T.StructField:
@@ -34,6 +35,11 @@ def field(df: DataFrame, name: str) -> T.StructField:
     return T.StructField(found.name, found.dataType, True)
 
 
+def place(id_col: str) -> Column:
+    """An id of any type as what documents are ordered by: null ids come last and are equal."""
+    return F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.llm.common import field, small_batches
+from millrace.llm.common import field, sliced
 
 #: Lines in a window, and the sum at which text surges on a page that marks no article.
 WINDOW, SURGE = 3, 80
@@ -208,10 +208,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [main_text(html) for html in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*batch.schema.names[1:], "text"])
 
     columns = [id_col, *keep]
     schema = T.StructType([*(field(pages, c) for c in columns), T.StructField("text", T.StringType())])
-    return small_batches(pages).select(html_col, *columns).mapInArrow(run, schema)
+    return pages.select(html_col, *columns).mapInArrow(run, schema)

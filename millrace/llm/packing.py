@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import field, small_batches
+from millrace.llm.common import field, sliced
 
 #: Text in a group, in bytes; a group's last window is its only poorly filled one.
 GROUP_BYTES = 64 << 20
@@ -151,7 +151,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end, width = text_ids(tokenizer), end_id.to_bytes(4, "little"), 4 * window
-        for batch in batches:
+        for batch in sliced(batches):
             which, total, starts, lengths, parts = [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 ids = known.encode(text or "") + end
@@ -168,7 +168,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: st
             )
 
     longs = [T.StructField(n, T.LongType()) for n in ("doc_tokens", "start", "length")]
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, T.StructType([field(docs, id_col), *longs, T.StructField("ids", T.BinaryType())]))
+    return docs.select(id_col, text_col).mapInArrow(run, T.StructType([field(docs, id_col), *longs, T.StructField("ids", T.BinaryType())]))
 
 
 def place(window: int):
@@ -176,7 +176,7 @@ def place(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rooms, opened = None, Rooms(window), 0
-        for batch in batches:
+        for batch in sliced(batches):
             sequences, offsets = [], []
             columns = batch.schema.names
             for g, n in zip(batch.column(columns.index("group")).to_pylist(), batch.column(columns.index("length")).to_pylist(), strict=True):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import field, small_batches
+from millrace.llm.common import field, sliced
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "ipv6", "url", "account", "secret")
@@ -198,23 +198,23 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in sliced(batches):
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b in find_spans(text)] for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=[id_col, "spans"])
 
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, T.StructType([field(docs, id_col), T.StructField("spans", SPAN)]))
+    return docs.select(id_col, text_col).mapInArrow(run, T.StructType([field(docs, id_col), T.StructField("spans", SPAN)]))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows and columns, with the personal data in text_col replaced; a null text stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.get_field_index(text_col)
             texts = pa.array([redacted(text) for text in batch.column(at).to_pylist()], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :]], names=batch.schema.names)
 
-    return small_batches(docs).mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
 
 
 def count(spans: Column, kind: str) -> Column:

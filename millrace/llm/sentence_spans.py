@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import small_batches
+from millrace.llm.common import sliced
 
 #: Sentences in a run, and words that it has at least (else it takes in further sentences).
 RUN, WORDS = 3, 12
@@ -108,7 +108,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [np.repeat([x[k] for x in held], counts) for k in (0, 1)] + [np.concatenate([x[k] for x in held]) for k in (2, 3, 4)]
         return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    for batch in batches:
+    for batch in sliced(batches):
         for doc, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             held.append((doc, mark, *runs(text)))
             size += len(held[-1][2])
@@ -144,7 +144,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null text stays null. Other columns
     are ignored. An empty table gives an empty table.
     """
-    named = small_batches(docs).select(F.col(id_col), F.col(text_col), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("mark"))
+    named = docs.select(F.col(id_col), F.col(text_col), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("mark"))
     spans = named.filter(F.col(text_col).isNotNull()).select("doc", "mark", text_col).mapInArrow(_emit, RUN_SCHEMA)
     first = spans.groupBy("hash").agg(F.min(F.struct("doc", "mark", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first")
     later = spans.join(first, "hash").filter(F.struct("doc", "mark", "start") > F.col("first"))
@@ -152,7 +152,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = named.join(gone, ["doc", "mark"], "left").select(id_col, text_col, "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [strip(text, gone) for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             texts, *counts = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], names=[id_col, text_col, "n_removed", "removed_words"])

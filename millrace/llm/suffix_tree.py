@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import cut, field, small_batches
+from millrace.llm.common import cut, field, sliced
 
 #: Least share of all training tokens, and least count, of a frequent word and of a listed continuation.
 SHARE, LISTED = 1e-6, 4
@@ -62,7 +62,7 @@ def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
-    for batch in batches:
+    for batch in sliced(batches):
         for text in batch.column(0).to_pylist():
             held.update(tokens(text))
             if len(held) > HELD:
@@ -207,7 +207,7 @@ def _continuations(model, depth: int):
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             return _batch({"s": keys >> 32, "w": (keys & 0xFFFFFFFF).astype(np.int32), "c": counts.astype(np.int64)})
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 symbols = tokens(text)
                 words, contexts = m.numbers(symbols, hashes(symbols))
@@ -231,7 +231,7 @@ def _continuations(model, depth: int):
 def fit(docs: DataFrame, id_col: str, text_col: str) -> tuple[Model, DataFrame]:
     """The model, and the counts (h, c) of all words by hash."""
     context = docs.sparkSession.sparkContext
-    texts = small_batches(docs).filter(~held_out(docs, id_col)).select(text_col)
+    texts = docs.filter(~held_out(docs, id_col)).select(text_col)
     counts = cut(texts.mapInArrow(count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     frequent = counts.filter(F.col("c") >= max(LISTED, SHARE * total)).toArrow()
@@ -257,7 +257,7 @@ def _scorer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         root = np.log10(m.p0)
-        for batch in batches:
+        for batch in sliced(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 symbols = tokens(text)
@@ -284,7 +284,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     model, counts = fit(docs, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = small_batches(docs).select(F.col(id_col), held_out(docs, id_col).alias("held_out"), F.col(text_col))
+    rows = docs.select(F.col(id_col), held_out(docs, id_col).alias("held_out"), F.col(text_col))
     schema = T.StructType([field(docs, id_col), T.StructField("held_out", T.BooleanType()), *SCORED])
     scored = cut(rows.mapInArrow(_scorer(sent), schema).withColumn("row", F.monotonically_increasing_id()))
     unsure = scored.select("row", F.explode("rare").alias("h"))
