@@ -13,37 +13,19 @@ def h60(s):
 
 
 def plainly(rows):
-    """Texts by (doc, text), straight from the definition."""
+    """Texts by (doc, text), from the rule: every run of one to three lines that stood before goes, if it has three or one of five words."""
     docs = sorted({(LAST if i is None else i, h60(t), t) for i, t in rows if t is not None})
-    marks, seqs = [], {}
+    seen, gone = set(), {}
     for doc, mark, text in docs:
-        seq = [(i, t) for i, t in enumerate(line.strip(" \t\x0b\x0c\r") for line in text.split("\n")) if t]
-        hs = [2 * h60(t) + (len(t.split()) >= 5) for _, t in seq]
-        seqs[doc, mark] = [i for i, _ in seq], hs
-        for p in range(len(hs)):
-            def wins(s):
-                window = [k for k in range(s, s + 3) if 0 <= k < len(hs)]
-                return max(k for k in window if hs[k] == min(hs[j] for j in window)) == p
-            if any(wins(s) for s in (p - 2, p - 1, p)):
-                marks.append((doc, mark, p, (0, hs[p])))
-                if p + 1 < len(hs):
-                    marks.append((doc, mark, p, (1, hs[p], hs[p + 1])))
-                if p:
-                    marks.append((doc, mark, p, (2, hs[p], hs[p - 1])))
-    first, gone = {}, {}
-    for doc, mark, p, key in sorted(marks):
-        if key not in first:
-            first[key] = doc, mark, p
-            continue
-        d0, m0, p0 = first[key]
-        (numbers, hs), (_, h0) = seqs[doc, mark], seqs[d0, m0]
-        a = b = 0
-        while a < 2 and p - a > 0 and p0 - a > 0 and hs[p - a - 1] == h0[p0 - a - 1]:
-            a += 1
-        while b < 2 and p + b + 1 < len(hs) and p0 + b + 1 < len(h0) and hs[p + b + 1] == h0[p0 + b + 1]:
-            b += 1
-        if a + b + 1 >= 3 or any(h % 2 for h in hs[p - a : p + b + 1]):
-            gone.setdefault((doc, mark), set()).update(numbers[p - a : p + b + 1])
+        lines = [(i, t) for i, t in enumerate(line.strip(" \t\x0b\x0c\r") for line in text.split("\n")) if t]
+        for p in range(len(lines)):
+            for size in (1, 2, 3):
+                part = lines[p : p + size]
+                if len(part) == size and (size == 3 or any(len(t.split()) >= 5 for _, t in part)):
+                    run = tuple(t for _, t in part)
+                    if run in seen:
+                        gone.setdefault((doc, mark), set()).update(i for i, _ in part)
+                    seen.add(run)
     return {(doc, text): "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone.get((doc, mark), ())) for doc, mark, text in docs}
 
 
@@ -77,6 +59,46 @@ def test_random_documents(spark):
     compare(spark, rows)
 
 
+def test_a_run_whose_lines_first_stood_elsewhere(spark):
+    """Each line, and each pair of lines, of the later run has its first occurrence in another setting."""
+    rows = [(1, "A\nB\nx"), (2, "y\nB\nC"), (3, "p\nA\nB\nC\nq"), (4, "r\nA\nB\nC\ns")]
+    assert compare(spark, rows)[4].text == "r\ns"
+
+
+def test_a_long_line_between_new_ones(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, "\n".join([f"new line {i} {k} of some words" for k in range(5)] + [long] + [f"after it {i} {k} of some words" for k in range(4)])) for i in range(30)]
+    found = compare(spark, rows)
+    assert [long in found[i].text for i in range(30)] == [True] + [False] * 29
+
+
+def test_every_run_of_short_lines_that_stood_before_goes(spark):
+    """The promise, not the definition: any later copy of three or more lines, whatever they are, is gone whole."""
+    rng = random.Random(8)
+    pool = [rng.choice("abcdef") + rng.choice(("", " b", " b c d e")) for _ in range(30)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(3, 12)))) for i in range(120)]
+    found = compare(spark, rows)
+    before = set()
+    for i, text in rows:
+        lines, kept = text.split("\n"), found[i].text.split("\n")
+        keep = [True] * len(lines)
+        for p in range(len(lines) - 2):
+            if tuple(lines[p : p + 3]) in before:
+                keep[p : p + 3] = [False] * 3
+        left = [x for x, k in zip(lines, keep, strict=True) if k]
+        it = iter(left)
+        assert kept == [""] or all(x in it for x in kept)  # nothing else is left
+        before |= {tuple(lines[p : p + 3]) for p in range(len(lines) - 2)}
+
+
+def test_text_ids_and_the_greatest_id(spark):
+    line = "one two three four five six"
+    texts = spark.createDataFrame([("b", line), ("a", line), (None, line), ("c", "x")], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.text) for r in line_winnow.deduplicate(texts).collect()) == [("None", ""), ("a", line), ("b", ""), ("c", "x")]
+    numbers = spark.createDataFrame([(LAST, line), (None, line)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in line_winnow.deduplicate(numbers).collect()) == [(str(LAST), line), ("None", "")]
+
+
 def test_empty_table(spark):
     assert line_winnow.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
