@@ -2,10 +2,12 @@
 
 Markup is stripped so that each block-level element is one line. A line weighs
 its text's length; lines of boilerplate (menus, notices, forms and so on, by
-element, role or class; links only; outside the page's article) weigh nothing.
+element, role or class; links only; outside the page's article) weigh nothing, and
+lines of an article several times their length.
 The weights are summed over a sliding window of lines. The sum surges where text
 begins and dives where a whole window is empty. The text between a surge and the
-next dive is kept.
+next dive is kept, and what lies between two such stretches or in the same
+article as one.
 
 The sum alone can't tell a long reader comment or advert from prose, nor keep a
 one-word paragraph, so the weights take the element and its class into account.
@@ -23,8 +25,8 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import field, sliced
 
-#: Lines in a window, and the sum at which text surges on a page that marks no article.
-WINDOW, SURGE = 3, 80
+#: Lines in a window, the sum at which text surges, and what an article's lines weigh for each character.
+WINDOW, SURGE, INSIDE = 3, 80, 4
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -173,30 +175,35 @@ def main_text(html: str | None) -> str:
     for text, article, _ in found:
         sums[article] = sums.get(article, 0) + len(text)
     inside = max((a for a in sums if a > 1), key=lambda a: (sums[a], -a), default=1 if sums.get(1) else 0)
-    weights = [len(text) if article == inside and (inside or not only_links) else 0 for text, article, only_links in found]
-    surge = 1 if inside else SURGE
-    total = sum(weights[:WINDOW])
-    window = []
-    for i in range(len(weights)):
-        window.append(total)
-        total += (weights[i + WINDOW] if i + WINDOW < len(weights) else 0) - weights[i]
-    if max(window, default=0) < surge:
-        surge = max(1, max(window, default=0))
-    kept: list[str] = []
-    begin = None
-    for i in range(len(window) + 1):
-        if i < len(window) and window[i]:
-            if begin is None and window[i] >= surge:
-                begin = i
-                while begin and not inside and weights[begin - 1]:  # short first lines, as headings, belong to what follows
-                    begin -= 1
-        elif begin is not None:
-            part = range(begin, i)
-            first = next((k for k in part if weights[k]), i)
-            last = next((k for k in reversed(part) if weights[k]), -1)
-            kept += [found[k][0] for k in range(first, last + 1) if found[k][0] and found[k][1] == inside]
+    weights = [len(text) * (INSIDE if inside else 1) if article == inside and (inside or not only_links) else 0 for text, article, only_links in found]
+    stretches = surges(weights)
+    if not stretches:
+        return ""
+    first, end = (0, len(found)) if inside else (stretches[0][0], stretches[-1][1])
+    surged = {k for a, b in stretches for k in range(a, b)}
+    return "\n".join(found[k][0] for k in range(first, end) if found[k][0] and found[k][1] == inside and (weights[k] or k in surged))
+
+
+def surges(weights: list[int]) -> list[tuple[int, int]]:
+    """The stretches (first line, last + 1) from a surge of the window sums to the next dive.
+
+    A dive is a window without weight. Light lines right before a surge, as
+    headings, belong to it. Where no sum surges the greatest one counts as one.
+    """
+    padded = [*weights, *[0] * (WINDOW - 1)]
+    window = [sum(padded[i : i + WINDOW]) for i in range(len(weights))]
+    least = min(SURGE, max(window, default=0)) or 1
+    out, begin = [], None
+    for i, total in enumerate([*window, 0]):
+        if total >= least and begin is None:
+            begin = i
+            while begin and weights[begin - 1]:
+                begin -= 1
+        elif not total and begin is not None:
+            filled = [k for k in range(begin, i) if weights[k]]
+            out.append((filled[0], filled[-1] + 1))
             begin = None
-    return "\n".join(kept)
+    return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -32,6 +32,23 @@ def test_pages_without_article():
     assert main_text("only text") == "only text"
 
 
+def test_windows_choose_the_text_of_unmarked_pages(monkeypatch):
+    """No tag or class tells text from the rest here; without the windows the rest would stay."""
+    from millrace.llm import html_blocks
+
+    gap = "<hr>" + "<div><a href=x>more</a></div>" * 4
+    page = f"<div>Tiny shop</div><div>since 1999</div>{gap}<h1>Head</h1><p>{LONG}</p><p>Yes.</p><p>{LONG}</p>{gap}<p>Between.</p>{gap}<p>{LONG}</p>{gap}<div>Legal stuff</div><div>by us</div>"
+    text = "\n".join(["Head", LONG.strip(), "Yes.", LONG.strip(), "Between.", LONG.strip()])
+    assert main_text(page) == text
+    monkeypatch.setattr(html_blocks, "surges", lambda weights: [(0, len(weights))])
+    assert main_text(page) != text
+
+
+def test_short_end_of_an_article_after_an_advert():
+    assert main_text(f"<article><p>{LONG}</p><div class=ad>x</div><p>Short end.</p></article>") == f"{LONG.strip()}\nShort end."
+    assert main_text("<article><p>A.</p></article>") == "A."
+
+
 def test_boilerplate_in_and_around_the_article():
     page = "<header>Site</header><div class='cookie-notice'>We use</div><main><article><h1>A &amp; B&#33;</h1><p>x <b>y</b>z<aside>no</aside><form>q</form><p>1\n 2&nbsp;3<ol class=commentlist><li>c</ol></article><article>small</article></main><footer>f"
     assert main_text(page) == "A & B!\nx yz\n1 2 3"
