@@ -172,7 +172,12 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: st
 
 
 def place(window: int):
-    """A function for mapInArrow that adds sequence_id and offset to pieces sorted by group and falling length."""
+    """A function for mapInArrow that adds sequence_id and offset to pieces sorted by group and falling length.
+
+    Of windows with equal room the one that was opened or filled last is taken;
+    pieces of equal length are placed in the order they come in. No pieces give
+    no windows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rooms, opened = None, Rooms(window), 0
@@ -200,12 +205,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, i
     pieces fill it gaplessly from 0. A null or empty text gives one piece, its
     end id. Repeated rows and ids are packed like any others, a null id stays
     null. Other columns are ignored. An empty table gives an empty table. The
-    number of groups follows the bytes of text.
+    number of groups follows the bytes of text, and that of tasks follows the
+    groups, so a task's share does not grow with the table.
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     groups = max(1, -(-size // GROUP_BYTES))
     cut = pieces(docs, tokenizer, window, end_id, id_col, text_col)
     mixed = cut.withColumn("group", F.pmod(F.xxhash64(id_col, "start", F.crc32("ids")), F.lit(groups)))
-    sorted_ = mixed.repartition(F.col("group")).sortWithinPartitions("group", F.desc("length"), id_col, "start", F.crc32("ids"))
+    sorted_ = mixed.repartition(2 * groups, "group").sortWithinPartitions("group", F.desc("length"), id_col, "start", F.crc32("ids"))
     longs = [T.StructField(n, T.LongType()) for n in ("sequence_id", "offset")]
     return sorted_.mapInArrow(place(window), T.StructType([*cut.schema.fields, *longs]))
