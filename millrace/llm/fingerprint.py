@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 from millrace.llm.common import BLANKS, SPACE, computed
 
 GRAM, WINDOW = 5, 10
-#: Text in a bucket of neighbouring documents, in bytes, and buckets at most.
-BUCKET_BYTES, BUCKETS = 16 << 20, 8192
+#: Text in a bucket of neighbouring documents, in bytes, and buckets at most: beyond 512 GB they grow, to some 800 MB at 100 TB, which a sort spills.
+BUCKET_BYTES, BUCKETS = 4 << 20, 1 << 17
 LEAST = -(1 << 63)
 
 
@@ -106,7 +106,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     edited is the text with its last third replaced by as much of the next
     document's start. A null text counts as empty. Repeated rows are documents
-    of their own; the only document is its own next. Null ids come last. Other
+    of their own; the only document is its own next. Ids are integers (others
+    are an error where they are no numbers); null ids come last. Other
     columns are ignored. An empty table gives an empty table.
     """
     dealt, order = with_next(docs, id_col, text_col)
