@@ -28,8 +28,6 @@ from millrace.llm.common import sliced
 RUN, WORDS = 3, 12
 #: Sentences of more words are cut; REACH words on each side are looked at.
 LONG, REACH = 10, 3
-#: Rows that a worker hands back at once.
-OUT_ROWS = 50_000
 LAST = (1 << 63) - 1
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,24 +97,13 @@ RUN_SCHEMA = "doc long, mark long, hash long, start int, stop int"
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"doc": pa.int64(), "mark": pa.int64(), "hash": pa.int64(), "start": pa.int32(), "stop": pa.int32()}
-    held: list[tuple] = []
-    size = 0
-
-    def hand_on() -> pa.RecordBatch:
-        counts = [len(x[2]) for x in held]
-        columns = [np.repeat([x[k] for x in held], counts) for k in (0, 1)] + [np.concatenate([x[k] for x in held]) for k in (2, 3, 4)]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
-
     for batch in sliced(batches):
-        for doc, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            held.append((doc, mark, *runs(text)))
-            size += len(held[-1][2])
-            if size >= OUT_ROWS:
-                yield hand_on()
-                held, size = [], 0
-    if size:
-        yield hand_on()
+        found = [runs(text) for text in batch.column(2).to_pylist()]
+        if not found:
+            continue
+        which = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
+        columns = [np.concatenate([x[k] for x in found]).astype(kind) for k, kind in enumerate((np.int64, np.int32, np.int32))]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *map(pa.array, columns)], names=["doc", "mark", "hash", "start", "stop"])
 
 
 def strip(text: str | None, gone: list[dict] | None) -> tuple[str | None, int, int]:
@@ -140,9 +127,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, text, n_removed, removed_words) of every row, the text without later repeats.
 
     First is what comes first by id, then by a hash of the text, then in the
-    text; null ids come last. Rows equal in id and text count as one document.
-    A null text stays null. Other columns
-    are ignored. An empty table gives an empty table.
+    text; ids are integers (others are an error where they are no numbers), and
+    null ids come last. Rows equal in id and text count as one document. A null
+    text stays null. Other columns are ignored. An empty table gives an empty
+    table.
     """
     named = docs.select(F.col(id_col), F.col(text_col), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("mark"))
     spans = named.filter(F.col(text_col).isNotNull()).select("doc", "mark", text_col).mapInArrow(_emit, RUN_SCHEMA)
