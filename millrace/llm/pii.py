@@ -206,7 +206,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All rows and columns, with the personal data in text_col replaced; a null text stays null."""
+    """All rows and columns, with the personal data in text_col replaced.
+
+    A null text stays null and an empty one empty; repeated rows stay repeated;
+    spans that overlap are replaced as one. An empty table gives an empty table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
