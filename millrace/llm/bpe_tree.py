@@ -1,7 +1,7 @@
 """Byte-level BPE by reduction over the monoid of token sequences.
 
-A piece's encoding is built from those of its halves. Two neighbouring
-encodings are joined by encoding again a window of tokens around the seam. The
+A piece that is no token is cut in halves down to single bytes, and its encoding
+is built from those of its halves. Two neighbouring encodings are joined by encoding again a window of tokens around the seam. The
 window grows until the tokens at its two edges are settled: a pair of tokens is
 settled if encoding its bytes gives that pair again. A sequence whose adjacent
 pairs are all settled is the encoding of its bytes (the first merge to cross a
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import field, sliced
 
-#: Pieces of at most so many bytes are leaves of the tree.
-LEAF_BYTES = 24
+#: Windows of at most so many bytes are merged by scanning all pairs each time, longer ones by a queue of pairs.
+SCANNED_BYTES = 48
+#: Subtrees of at most so many bytes are remembered, and how many of them, and of seams and settled pairs of tokens.
+SUBTREE_BYTES, REMEMBERED = 8, 200_000
 #: Distinct pieces remembered by a worker, and the longest that is remembered; beyond them pieces are encoded anew.
 MEMO_PIECES, MEMO_CHARS = 300_000, 48
 #: A rank above all.
@@ -37,7 +39,10 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.settled = lru_cache(200_000)(self._settled)
+        self.settled = lru_cache(REMEMBERED)(self._settled)
+        self.seam = lru_cache(REMEMBERED)(self._seam)
+        self.subtree = lru_cache(REMEMBERED)(self._halved)
+        self.joins = 0
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -46,7 +51,7 @@ class Codec:
 
     def merge(self, data: bytes) -> list[int]:
         """The definition: merge the lowest-ranked adjacent pair, leftmost first, until none is left."""
-        return self._merge_short(data) if len(data) <= 2 * LEAF_BYTES else self._merge_long(data)
+        return self._merge_short(data) if len(data) <= SCANNED_BYTES else self._merge_long(data)
 
     def _merge_short(self, data: bytes) -> list[int]:
         """By scanning all pairs each time, which is quickest for a word."""
@@ -92,21 +97,26 @@ class Codec:
     def _settled(self, left: int, right: int) -> bool:
         return self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
 
+    def _seam(self, left: int, right: int) -> list[int]:
+        return self.merge(self.tokens[left] + self.tokens[right])
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The encoding of both sequences' bytes."""
+        """The encoding of both sequences' bytes; neither list is changed."""
         if not left or not right:
             return left or right
-        reach = 1
-        while True:
-            seam = left[-reach:] + right[:reach]
-            seam = self.merge(b"".join(map(self.tokens.__getitem__, seam)))
-            if (len(left) <= reach or self.settled(left[-reach - 1], seam[0])) and (len(right) <= reach or self.settled(seam[-1], right[reach])):
-                return left[:-reach] + seam + right[reach:]
+        self.joins += 1
+        seam, reach = self.seam(left[-1], right[0]), 1
+        while not ((len(left) <= reach or self.settled(left[-reach - 1], seam[0])) and (len(right) <= reach or self.settled(seam[-1], right[reach]))):
             reach *= 2
+            seam = self.merge(b"".join(map(self.tokens.__getitem__, left[-reach:] + right[:reach])))
+        return left[:-reach] + seam + right[reach:]
 
     def reduce(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF_BYTES:
-            return self.merge(data)
+        return self.subtree(data) if len(data) <= SUBTREE_BYTES else self._halved(data)
+
+    def _halved(self, data: bytes) -> list[int]:
+        if len(data) == 1:
+            return [self.ranks[data]]
         half = len(data) // 2
         return self.join(self.reduce(data[:half]), self.reduce(data[half:]))
 
@@ -115,9 +125,9 @@ class Codec:
         data = piece.encode()
         return [whole] if (whole := self.ranks.get(data)) is not None else self.reduce(data)
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The ids' bytes, joined in halves."""
-        parts = [self.tokens[i] for i in ids]
+    def decode(self, ids: Sequence[int]) -> bytes:
+        """The ids' bytes, joined up a tree of 64 branches."""
+        parts = list(map(self.tokens.__getitem__, ids))
         while len(parts) > 64:
             parts = [b"".join(parts[i : i + 64]) for i in range(0, len(parts), 64)]
         return b"".join(parts)
@@ -164,21 +174,27 @@ def list_array(packed: list[bytes | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def encode(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(id, ids array<int>) of every row's whole text; every row gives one row.
 
-    A null or empty text has no ids. Rows with equal ids or texts stay apart; a
-    null id stays null. Other columns are ignored, whatever their names. An
-    empty table gives an empty table. vocab is a path that every executor has.
+    With decoded, also the bytes that the ids stand for, decoded in the same
+    task, so ids need not travel back. A null or empty text has no ids. Rows
+    with equal ids or texts stay apart; a null id stays null. Other columns are
+    ignored, whatever their names. An empty table gives an empty table. vocab is
+    a path that every executor has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, find = _loaded(vocab), _pattern(pattern).findall
         for batch in sliced(batches):
             packed = [b"".join(map(memo.__getitem__, find(text or ""))) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(packed)], names=[id_col, "ids"])
+            columns = {id_col: batch.column(0), "ids": list_array(packed)}
+            if decoded:
+                columns["decoded"] = pa.array([memo.codec.decode(memoryview(p).cast("i")) for p in packed], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    schema = T.StructType([field(docs, id_col), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    out = [T.StructField("decoded", T.BinaryType())] if decoded else []
+    schema = T.StructType([field(docs, id_col), T.StructField("ids", T.ArrayType(T.IntegerType())), *out])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 

@@ -79,8 +79,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document, as digests."""
     vocab = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe_tree.encode(table(spark, sf_dir, "documents"), vocab, public_tokenizers.PATTERN)
-    return bpe_tree.decode(ids, vocab).select(
+    both = bpe_tree.encode(table(spark, sf_dir, "documents"), vocab, public_tokenizers.PATTERN, decoded=True)
+    return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
