@@ -60,8 +60,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever file system it is."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage, with files in the shared folder."""
+    """Computes df once and cuts its lineage, with files in the shared folder.
+
+    Where spark.cleaner.referenceTracking.cleanCheckpoints is true, Spark deletes
+    them when the driver no longer holds df.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint()
 

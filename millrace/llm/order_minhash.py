@@ -5,9 +5,11 @@ occurred before. For each of REPEATS hash functions the PICKS grams of least has
 are taken in the order of the text; texts that agree in one such tuple are
 candidates. The chance of that falls with the edit distance, not only with the
 overlap. In each bucket of equal tuples every text is first compared with two
-texts drawn by hash, others in each bucket; then, in buckets that hold texts of
-several components, all pairs of different components are compared, in blocks.
-So every pair that shares a tuple is verified or in one class. Before texts are
+texts drawn by hash, others in each bucket. Texts that then share a tuple with
+one in another component are dealt anew, exactly: by those of their rarest grams
+of which two alike texts must share one. There the texts outside a bucket's
+largest component are compared with all in other ones, in blocks. So every pair
+that shares a tuple and is alike ends in one class. Before texts are
 fetched, profiles (how many grams fall into each of PROFILE cells) rule out pairs
 that differ too much in any order. A candidate pair is alike if the edit distance of its
 gram sequences, computed within a band, is at most 0.2 of the longer, or if their
@@ -16,8 +18,7 @@ of such edits where one place is deleted and another inserted.
 
 Exact copies are one node from the start. Classes are the connected components
 of verified pairs. Each text is first compared with the partner it shares most
-tuples with, and later with the one that has most partners; of its other
-candidates only those in another component are compared.
+tuples with; of its other candidates only those in another component are compared.
 """
 
 from __future__ import annotations
@@ -30,19 +31,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.llm.common import cut, small_batches
+from millrace.llm.common import cut, sliced
 from millrace.llm.sentence_spans import WORD
 
 GRAM, REPEATS, PICKS, SIMILARITY = 5, 32, 3, 0.8
 #: Texts of more grams are hashed function by function, to bound memory.
 WIDE = 4096
-#: Cells of a profile, and about how many of a bucket's texts are compared with each other in one block.
+#: Cells of a profile, and about how many of a bucket's texts are on each side of one block.
 PROFILE, BLOCK = 256, 128
+#: Links that one task labels.
+PART_LINKS = 250_000
 
 PAIR = ["node", "node_id", "pivot", "pivot_id"]
+BLOCK_KEY = ["bucket", "i", "j"]
 
 _rng = np.random.default_rng(20)
 SEEDS = _rng.integers(0, 1 << 63, REPEATS, dtype=np.uint64)
@@ -165,7 +168,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text (null as empty) and node, the text's 128-bit hash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return small_batches(docs).select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("node"))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("node"))
 
 
 def profile(found: np.ndarray) -> bytes:
@@ -185,7 +188,7 @@ def _profiles(column: pa.Array) -> np.ndarray:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         sizes, sketches, profiles = [], [], []
         for text in batch.column(2).to_pylist():
             found = grams(text)
@@ -198,16 +201,15 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, p, other_n, other_p = (batch[k] for k in ("n", "profile", "other_n", "other_profile"))
-        yield batch.select(PAIR).filter(pa.array(may_be_alike(n.to_numpy(), _profiles(p), other_n.to_numpy(), _profiles(other_p))))
+        yield batch.select([*PAIR, "shared"]).filter(pa.array(may_be_alike(n.to_numpy(), _profiles(p), other_n.to_numpy(), _profiles(other_p))))
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of each block that may be alike, are of different roots and share no earlier tuple. Rows come by block."""
     kept = None
-    for batch in batches:
+    for batch in sliced(batches):
         rows = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
-        kept = None
-        block = np.stack([rows[k].to_numpy() for k in ("bucket", "i", "j")])
+        block = np.stack([rows[k].to_numpy() for k in BLOCK_KEY])
         last = int(np.flatnonzero(np.append(True, (block[:, 1:] != block[:, :-1]).any(axis=0)))[-1]) if rows.num_rows else 0
         kept = rows.slice(last)
         yield from _compared(rows.slice(0, last))
@@ -216,33 +218,34 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Each stray text of a block against the block's others."""
     if not rows.num_rows:
         return
-    block = np.stack([rows[k].to_numpy() for k in ("bucket", "i", "j")])
+    block = np.stack([rows[k].to_numpy() for k in BLOCK_KEY])
     starts = np.flatnonzero(np.append(True, (block[:, 1:] != block[:, :-1]).any(axis=0)))
-    n, r, slot = (rows[k].to_numpy() for k in ("n", "r", "slot"))
-    root = np.unique(np.array([x.hex() for x in rows["root"].to_pylist()]), return_inverse=True)[1]
+    number, root, n, r = (rows[k].to_numpy() for k in ("row", "root", "n", "r"))
+    left, stray = (rows[k].to_numpy(zero_copy_only=False) for k in ("left", "stray"))
     sketches = rows["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, REPEATS)
     profiles = _profiles(rows["profile"])
     for start, end in zip(starts, [*starts[1:], len(n)], strict=True):
-        left, right = [], []
-        same = block[1, start] == block[2, start]
-        for a in range(start, end - 1):
-            c = np.arange(a + 1, end)
-            ok = (root[c] != root[a]) & (same | (slot[c] != slot[a])) & (np.abs(n[c] - n[a]) <= np.maximum(n[c], n[a]) * (1 - SIMILARITY) + 1e-9)
-            c = c[ok]
+        inside = np.arange(start, end)
+        others = inside[~left[start:end]]
+        one, two = [], []
+        for a in inside[left[start:end]]:
+            # two stray texts meet in a block of either
+            c = others[(root[others] != root[a]) & (~stray[others] | (number[others] > number[a])) & (np.abs(n[others] - n[a]) <= np.maximum(n[others], n[a]) * (1 - SIMILARITY) + 1e-9)]
             c = c[~(sketches[c, : r[a]] == sketches[a, : r[a]]).any(axis=1)]
             if len(c):
                 c = c[may_be_alike(n[c], profiles[c], n[a], profiles[a])]
-                left.append(np.full(len(c), a))
-                right.append(c)
-        if left:
-            one, two = (rows.select(["node", "id"]).take(pa.array(np.concatenate(x))) for x in (left, right))
-            yield from pa.table([*one.columns, *two.columns], names=PAIR).to_batches()
+                one.append(np.full(len(c), a))
+                two.append(c)
+        if one:
+            ends = (rows.select(["node", "id"]).take(pa.array(np.concatenate(x))) for x in (one, two))
+            yield from pa.table([column for side in ends for column in side.columns], names=PAIR).to_batches()
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         left, right = (batch.column(k).to_pylist() for k in (2, 3))
         memo: dict[str, np.ndarray] = {}
         keep = []
@@ -261,9 +264,9 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.mapInArrow(_verified, "node binary, pivot binary").distinct()
 
 
-def _plain(df: DataFrame) -> DataFrame:
-    """As cut, without the size that the checkpoint hands on: a product over joins, it would double its digits in each round."""
-    found = cut(df)._jdf
+def _plain(df: DataFrame, parts: int) -> DataFrame:
+    """As cut, in few parts, without the size that the checkpoint hands on: a product over joins, it would double its digits in each round."""
+    found = cut(df.coalesce(parts))._jdf
     session = df.sparkSession
     return DataFrame(session._jsparkSession.internalCreateDataFrame(found.queryExecution().toRdd(), found.schema(), False), session)
 
@@ -273,15 +276,18 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the least label among neighbours, then the label's own
     label, until nothing changes; rounds follow the logarithm of a component's
-    diameter.
+    diameter. The work is dealt to parts of PART_LINKS links, as rounds over few
+    links would else be mostly empty tasks.
     """
-    both = _plain(links.select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(links.select("pivot", "node")))
-    labels = _plain(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root")))
+    parts = max(1, -(-links.count() // PART_LINKS))
+    both = _plain(links.select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(links.select("pivot", "node")), parts)
+    labels = _plain(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root")), parts)
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
+        met = both.join(labels.select(F.col("node").alias("b"), "root"), "b").coalesce(parts)
+        near = met.groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        lower = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low")).coalesce(parts)
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("next"))
-        moved = _plain(lower.join(jump, "low").select("node", "root", F.least("low", "next").alias("low")))
+        moved = _plain(lower.join(jump, "low").select("node", "root", F.least("low", "next").alias("low")), parts)
         changed = not moved.filter("low < root").isEmpty()
         labels = moved.select("node", F.col("low").alias("root"))
         if not changed:
@@ -289,9 +295,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def sketched(nodes: DataFrame) -> DataFrame:
-    """A row for each node: id, the least one, n, sketch and profile."""
+    """A row for each node: its number, id (the least one), n, sketch and profile. Numbers hold once it is cut."""
     found = nodes.select("id", "node", "text").mapInArrow(_sketched, "id " + nodes.schema["id"].dataType.simpleString() + ", node binary, n long, sketch array<long>, profile binary")
-    return found.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("profile").alias("profile"))
+    single = found.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("profile").alias("profile"))
+    return single.withColumn("row", F.monotonically_increasing_id())
 
 
 def _pair_schema(single: DataFrame) -> str:
@@ -303,84 +310,139 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     """Each pair once, the lesser node first."""
     turned = F.col("node") > F.col("pivot")
     one, two = F.struct("node", F.col("node_id").alias("id")), F.struct(F.col("pivot").alias("node"), F.col("pivot_id").alias("id"))
-    both = pairs.select(F.when(turned, two).otherwise(one).alias("x"), F.when(turned, one).otherwise(two).alias("y"))
-    return both.select(F.col("x.node").alias("node"), F.col("x.id").alias("node_id"), F.col("y.node").alias("pivot"), F.col("y.id").alias("pivot_id"))
+    both = pairs.select(F.when(turned, two).otherwise(one).alias("x"), F.when(turned, one).otherwise(two).alias("y"), *(c for c in pairs.columns if c not in PAIR))
+    return both.select(F.col("x.node").alias("node"), F.col("x.id").alias("node_id"), F.col("y.node").alias("pivot"), F.col("y.id").alias("pivot_id"), *both.columns[2:])
+
+
+def buckets(single: DataFrame) -> DataFrame:
+    """(row, r, bucket, one, two) for each tuple that a text shares with another: two texts drawn in its bucket.
+
+    Two are drawn by the least and greatest of their number XOR the bucket's
+    hash, which is one comparison of 64 bits and gives the number back.
+    """
+    rows = single.select("row", F.posexplode("sketch").alias("r", "bucket"))
+    drawn = F.col("row").bitwiseXOR(F.col("bucket"))
+    two = rows.groupBy("bucket").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high")).filter("low < high")
+    met = rows.join(two, "bucket")
+    return met.select("row", "r", "bucket", F.col("low").bitwiseXOR(F.col("bucket")).alias("one"), F.col("high").bitwiseXOR(F.col("bucket")).alias("two"))
 
 
-def candidates(single: DataFrame) -> DataFrame:
+def candidates(single: DataFrame, met: DataFrame | None = None) -> DataFrame:
     """(node, node_id, pivot, pivot_id, shared): each text with the two drawn in each bucket it is in.
 
     Pairs whose lengths or profiles alone forbid enough likeness are left out.
+    met is what buckets() found.
     """
-    rows = single.select("node", "id", "n", F.explode("sketch").alias("bucket"))
-    drawn = [F.min(F.struct(F.xxhash64(*order).alias("h"), "node", "id", "n")) for order in (("node", "bucket"), ("bucket", "node"))]
-    two = rows.groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("drawn"), F.count("*").alias("size")).filter("size > 1").select("bucket", "drawn")
-    met = rows.join(two, "bucket").select("node", "id", "n", F.explode("drawn").alias("other"))
-    near = (F.col("n") >= SIMILARITY * F.col("other.n") - 1e-6) & (F.col("other.n") >= SIMILARITY * F.col("n") - 1e-6)
-    pairs = _ordered(met.filter((F.col("node") != F.col("other.node")) & near).select("node", F.col("id").alias("node_id"), F.col("other.node").alias("pivot"), F.col("other.id").alias("pivot_id")))
-    counted = pairs.groupBy("node", "pivot").agg(F.min("node_id").alias("node_id"), F.min("pivot_id").alias("pivot_id"), F.count("*").alias("shared"))
-    other = single.select(F.col("node").alias("pivot"), F.col("n").alias("other_n"), F.col("profile").alias("other_profile"))
-    both = counted.join(single.select("node", "n", "profile"), "node").join(other, "pivot").select(*PAIR, "shared", "n", "profile", "other_n", "other_profile")
-    likely = both.drop("shared").mapInArrow(_likely, _pair_schema(single))
-    return likely.join(counted.select("node", "pivot", "shared"), ["node", "pivot"])
-
-
-def _rooted(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
-    """nodes with root, the component that each is in."""
-    if links is None:
-        return nodes.withColumn("root", F.col("node"))
-    return nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def unmet(single: DataFrame, links: DataFrame | None) -> DataFrame:
-    """(node, node_id, pivot, pivot_id): all texts that share a tuple, may be alike, and are in different components.
-
-    A bucket is dealt into slots; a block is two slots, or one with itself, so a
+    met = buckets(single) if met is None else met
+    pairs = met.select("row", F.explode(F.array("one", "two")).alias("other")).filter("row <> other")
+    counted = pairs.groupBy(F.least("row", "other").alias("row"), F.greatest("row", "other").alias("other")).agg(F.count("*").alias("shared"))
+    own = single.select("row", "node", F.col("id").alias("node_id"), "n", "profile")
+    other = single.select(F.col("row").alias("other"), F.col("node").alias("pivot"), F.col("id").alias("pivot_id"), F.col("n").alias("other_n"), F.col("profile").alias("other_profile"))
+    both = counted.join(own, "row").join(other, "other").select(*PAIR, "shared", "n", "profile", "other_n", "other_profile")
+    return _ordered(both.mapInArrow(_likely, _pair_schema(single) + ", shared long"))
+
+
+def _with_roots(single: DataFrame, roots: DataFrame | None, met: DataFrame) -> DataFrame:
+    """met with root, the number of the root of each text's component. roots: (node, root) of linked texts, or None."""
+    if roots is None:
+        return met.withColumn("root", F.col("row"))
+    numbers = single.select("node", "row")
+    rooted = roots.join(numbers, "node").select("row", F.col("root").alias("node")).join(numbers.withColumnRenamed("row", "root"), "node").select("row", "root")
+    return met.join(rooted, "row", "left").withColumn("root", F.coalesce("root", "row"))
+
+
+def unmet(single: DataFrame, roots: DataFrame | None, met: DataFrame | None = None) -> DataFrame:
+    """(node, node_id, pivot, pivot_id): all texts that share a bucket, may be alike, and are in different components.
+
+    Buckets are those of met (row, r, bucket), by default of tuples; a pair is
+    left out where it shares the tuple of a function before r. In a bucket only the texts outside its largest component, the stray ones,
+    are compared, with all others. They are dealt into slots of BLOCK, and so
+    are all texts; a block is a slot of stray ones and a slot of any, so a
     large bucket is the work of many tasks.
     """
-    rows = _rooted(single.select("node", "sketch"), links).select("node", "root", F.posexplode("sketch").alias("r", "bucket"))
-    mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).alias("slots")).filter("low < high").select("bucket", "slots")
-    met = rows.join(mixed, "bucket").withColumn("slot", F.pmod(F.xxhash64("node"), "slots")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
-    blocks = met.select("node", "root", "r", "bucket", "slot", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j")).join(single, "node")
-    dealt = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return _ordered(dealt.mapInArrow(_block_pairs, _pair_schema(single)))
+    rows = _with_roots(single, roots, (buckets(single) if met is None else met).select("row", "r", "bucket"))
+    sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+    most = F.max(F.struct("c", "root"))
+    mixed = sizes.groupBy("bucket").agg(most.alias("most"), F.sum("c").alias("m"), F.count("*").alias("kinds")).filter("kinds > 1")
+    slots = lambda c: F.ceil(c / BLOCK).cast("long")
+    mixed = mixed.select("bucket", F.col("most.root").alias("main"), slots(F.col("m") - F.col("most.c")).alias("strays"), slots(F.col("m")).alias("all"))
+    dealt = rows.join(mixed, "bucket").withColumn("stray", F.col("root") != F.col("main"))
+    every = lambda c: F.sequence(F.lit(0).cast("long"), c - 1)
+    own = lambda c: F.pmod(F.xxhash64("row"), c)
+    as_left = F.transform(F.when(F.col("stray"), every(F.col("all"))).otherwise(F.array().cast("array<long>")), lambda j: F.struct(F.lit(True).alias("left"), own(F.col("strays")).alias("i"), j.alias("j")))
+    as_other = F.transform(every(F.col("strays")), lambda i: F.struct(F.lit(False).alias("left"), i.alias("i"), own(F.col("all")).alias("j")))
+    blocks = dealt.select("row", "root", "r", "bucket", "stray", F.inline(F.concat(as_left, as_other))).join(single, "row")
+    sorted_ = blocks.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
+    return _ordered(sorted_.mapInArrow(_block_pairs, _pair_schema(single)))
+
+
+def _texts(nodes: DataFrame, single: DataFrame, met: DataFrame) -> DataFrame:
+    """(node, text, row, n) of the texts in met, a row for each."""
+    wanted = single.select(F.col("node").alias("_node"), F.col("id").alias("_id"), "row", "n").join(met.select("row"), "row", "left_semi")
+    found = nodes.join(wanted, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")))
+    return found.select("node", "text", "row", "n").dropDuplicates(["node"])
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches):
+        found = [labelled(grams(text)).view(np.int64) for text in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["row", "n", "grams"])
+
+
+def rarest(texts: DataFrame) -> DataFrame:
+    """(row, r, bucket): of each text the labelled grams that are among its rarest and that another text holds.
+
+    Alike texts share all but a band of the longer one's grams, so in any order
+    of all grams the first band + 1 of either text have one in common. Here rare
+    grams come first: texts that share a frequent passage alone do not meet.
+    """
+    held = texts.select("row", "n", "text").mapInArrow(_labelled, "row long, n long, grams array<long>").select("row", "n", F.explode("grams").alias("bucket"))
+    often = held.groupBy("bucket").agg(F.count("*").alias("often")).filter("often > 1")
+    text = Window.partitionBy("row")
+    ranked = held.join(often, "bucket").withColumn("known", F.count("*").over(text)).withColumn("place", F.row_number().over(text.orderBy("often", "bucket")))
+    band = F.floor(F.col("n") * (1 - SIMILARITY) + 1e-9)
+    return ranked.filter(F.col("n") - F.col("known") + F.col("place") <= band + 1).select("row", F.lit(0).alias("r"), "bucket")
+
 
+def mixed_texts(single: DataFrame, roots: DataFrame | None, met: DataFrame) -> DataFrame:
+    """The numbers of the texts that share a tuple with one in another component."""
+    rows = _with_roots(single, roots, met)
+    mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    return rows.join(mixed, "bucket", "left_semi").select("row").distinct()
 
-def _linked(pairs: DataFrame, weight: str | None, links: DataFrame | None, nodes: DataFrame) -> DataFrame | None:
-    """links and more verified ones, which connect what any of the pairs connects. Pairs are ordered; None is no link.
 
-    Each text's best pair, by weight or else the partner's number of pairs, comes first.
+def _best_first(pairs: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Verified links that connect what any of the pairs connects; None if there is none.
+
+    The pair of each text that shares most tuples comes first, then those that
+    are still in different components.
     """
     if pairs.isEmpty():
-        return links
-    ends = pairs.select("node", F.col("node_id").alias("id")).union(pairs.select("pivot", "pivot_id")).distinct()
-    wanted = ends.select(F.col("node").alias("_node"), F.col("id").alias("_id"))
-    texts = cut(nodes.join(wanted, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("node", "text").dropDuplicates(["node"]))
-    sides = pairs.select("node", "pivot", *([weight] if weight else [])).union(pairs.select("pivot", "node", *([weight] if weight else [])))
-    if not weight:
-        weight = "pairs"
-        sides = sides.join(sides.groupBy(F.col("node").alias("pivot")).agg(F.count("*").alias(weight)), "pivot")
-    best = cut(sides.groupBy("node").agg(F.max_by("pivot", F.struct(weight, "pivot")).alias("pivot")).select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot")).distinct())
-
-    def also(found: DataFrame) -> DataFrame | None:
-        found = cut(found)
-        return links if found.isEmpty() else found if links is None else links.union(found)
-
-    links = also(_verify(best, texts))
+        return None
+    sides = pairs.select("node", "pivot", "shared").union(pairs.select("pivot", "node", "shared"))
+    best = cut(sides.groupBy("node").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot")).select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot")).distinct())
+    links = cut(_verify(best, texts))
     rest = pairs.select("node", "pivot").join(best, ["node", "pivot"], "left_anti")
-    if links is not None:
-        found = cut(components(links))
+    if not links.isEmpty():
+        found = components(links)
         rest = rest.join(found, "node", "left").withColumnRenamed("root", "own").join(found.select(F.col("node").alias("pivot"), "root"), "pivot", "left").filter("own IS NULL OR root IS NULL OR own <> root")
-    return also(_verify(rest.select("node", "pivot"), texts))
+    links = links.union(cut(_verify(rest.select("node", "pivot"), texts)))
+    return None if links.isEmpty() else links
 
 
 def near_links(nodes: DataFrame) -> DataFrame | None:
     """Verified links (node, pivot) that connect all texts that share a tuple and are alike; None if there is none."""
     single = cut(sketched(nodes))
-    drawn = cut(candidates(single))
-    links = _linked(drawn, "shared", None, nodes)
-    others = cut(unmet(single, links).join(drawn.select("node", "pivot"), ["node", "pivot"], "left_anti"))
-    return _linked(others, None, links, nodes)
+    met = cut(buckets(single))
+    texts = cut(_texts(nodes, single, met))
+    drawn = cut(candidates(single, met))
+    links = _best_first(drawn, texts)
+    roots = None if links is None else components(links)
+    rare = cut(rarest(texts.join(mixed_texts(single, roots, met), "row", "left_semi")))
+    others = unmet(single, roots, rare).select("node", "pivot").distinct().join(drawn.select("node", "pivot"), ["node", "pivot"], "left_anti")
+    more = cut(_verify(others, texts))
+    links = more if links is None else links.union(more)
+    return None if links.isEmpty() else links
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -400,9 +462,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, with all columns: one of the class's least id, then of the least hash of its text."""
+    """One row of each class, with all columns: one of the class's least id, then of the least hash of its text.
+
+    Of rows equal in both any one stays. Null texts count as empty ones, null
+    ids come last, and an empty table gives an empty table.
+    """
     found = classes(docs, id_col, text_col)
     first = found.groupBy("group").agg(F.min(F.struct(F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)).alias("_id"), F.col("node").alias("_node"))).alias("f")).select("f._id", "f._node")
     marked = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)).alias("_id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("_node"))
-    once = Window.partitionBy("_node", "_id").orderBy(F.lit(0))
-    return marked.join(first, ["_node", "_id"], "left_semi").withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("_row.*")
+    return marked.join(first, ["_node", "_id"], "left_semi").groupBy("_node", "_id").agg(F.first("_row").alias("_row")).select("_row.*")
