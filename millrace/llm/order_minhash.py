@@ -294,6 +294,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_components(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """roots (node, root) after more links (node, pivot). Only links between components are labelled; None is no link."""
+    if links.isEmpty():
+        return roots
+    if roots is None:
+        return components(links)
+    own = roots.withColumnRenamed("root", "own")
+    between = links.join(own, "node", "left").select(F.coalesce("own", "node").alias("node"), "pivot")
+    between = between.join(own.withColumnRenamed("node", "pivot"), "pivot", "left").select("node", F.coalesce("own", "pivot").alias("pivot"))
+    moved = components(cut(between.filter("node <> pivot").distinct()))
+    fresh = moved.select("node").join(roots.select("root").distinct(), F.col("node") == F.col("root"), "left_anti").select("node", F.col("node").alias("root"))
+    further = moved.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return cut(roots.union(fresh).join(further, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+
+
 def sketched(nodes: DataFrame) -> DataFrame:
     """A row for each node: its number, id (the least one), n, sketch and profile. Numbers hold once it is cut."""
     found = nodes.select("id", "node", "text").mapInArrow(_sketched, "id " + nodes.schema["id"].dataType.simpleString() + ", node binary, n long, sketch array<long>, profile binary")
@@ -412,7 +427,7 @@ def mixed_texts(single: DataFrame, roots: DataFrame | None, met: DataFrame) -> D
 
 
 def _best_first(pairs: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Verified links that connect what any of the pairs connects; None if there is none.
+    """(node, root) after all pairs of texts that are alike are linked; None if there is none.
 
     The pair of each text that shares most tuples comes first, then those that
     are still in different components.
@@ -421,28 +436,23 @@ def _best_first(pairs: DataFrame, texts: DataFrame) -> DataFrame | None:
         return None
     sides = pairs.select("node", "pivot", "shared").union(pairs.select("pivot", "node", "shared"))
     best = cut(sides.groupBy("node").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot")).select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot")).distinct())
-    links = cut(_verify(best, texts))
+    roots = joined_components(None, cut(_verify(best, texts)))
     rest = pairs.select("node", "pivot").join(best, ["node", "pivot"], "left_anti")
-    if not links.isEmpty():
-        found = components(links)
-        rest = rest.join(found, "node", "left").withColumnRenamed("root", "own").join(found.select(F.col("node").alias("pivot"), "root"), "pivot", "left").filter("own IS NULL OR root IS NULL OR own <> root")
-    links = links.union(cut(_verify(rest.select("node", "pivot"), texts)))
-    return None if links.isEmpty() else links
+    if roots is not None:
+        rest = rest.join(roots, "node", "left").withColumnRenamed("root", "own").join(roots.select(F.col("node").alias("pivot"), "root"), "pivot", "left").filter("own IS NULL OR root IS NULL OR own <> root")
+    return joined_components(roots, cut(_verify(rest.select("node", "pivot"), texts)))
 
 
-def near_links(nodes: DataFrame) -> DataFrame | None:
-    """Verified links (node, pivot) that connect all texts that share a tuple and are alike; None if there is none."""
+def near_roots(nodes: DataFrame) -> DataFrame | None:
+    """(node, root) of the texts that are linked: all that share a tuple and are alike are in one component. None if there is no link."""
     single = cut(sketched(nodes))
     met = cut(buckets(single))
     texts = cut(_texts(nodes, single, met))
     drawn = cut(candidates(single, met))
-    links = _best_first(drawn, texts)
-    roots = None if links is None else components(links)
+    roots = _best_first(drawn, texts)
     rare = cut(rarest(texts.join(mixed_texts(single, roots, met), "row", "left_semi")))
     others = unmet(single, roots, rare).select("node", "pivot").distinct().join(drawn.select("node", "pivot"), ["node", "pivot"], "left_anti")
-    more = cut(_verify(others, texts))
-    links = more if links is None else links.union(more)
-    return None if links.isEmpty() else links
+    return joined_components(roots, cut(_verify(others, texts)))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -454,9 +464,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Other columns are ignored. An empty table gives an empty table.
     """
     nodes = _nodes(docs, id_col, text_col)
-    links = near_links(nodes)
+    roots = near_roots(nodes)
     named = nodes.select("id", "node")
-    grouped = named.withColumn("group", F.col("node")) if links is None else named.join(components(links).withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    grouped = named.withColumn("group", F.col("node")) if roots is None else named.join(roots.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
     least = grouped.groupBy("group").agg(F.min("id").alias("class_id"))
     return grouped.join(least, "group").select(F.col("id").alias(id_col), "node", "group", "class_id")
 

@@ -170,6 +170,18 @@ def test_long_chains_are_one_component(spark):
     assert found == {**{i: 0 for i in range(61)}, 90: 90, 91: 90}
 
 
+def test_components_grow_with_links(spark):
+    rng = random.Random(4)
+    links = [(rng.randrange(90), rng.randrange(90)) for _ in range(70)]
+    frame = lambda part: spark.createDataFrame(part, "node long, pivot long").filter("node <> pivot")
+    roots = None
+    for at in range(0, 75, 15):
+        roots = om.joined_components(roots, frame(links[at : at + 15] or [(1, 1)]))
+    want = {r.node: r.root for r in om.components(frame(links)).collect()}
+    found = {r.node: r.root for r in roots.collect()}
+    assert len(found) == roots.count() and found == want
+
+
 def test_query(spark):
     from millrace.llm.queries import QUERIES
 
