@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import frames
 from millrace.operators import joins, windows
+from millrace.session import shared_folder
+from millrace.sources import formats
 from millrace.sources.tables import TABLES, table
 from millrace.streaming import events as streams
 
@@ -74,6 +76,7 @@ sql("join_anti", "SELECT o_orderkey, o_totalprice FROM {orders} LEFT ANTI JOIN {
 sql("join_cross", "SELECT a.r_name AS one, b.r_name AS two FROM {region} a CROSS JOIN {region} b")
 sql("join_theta", "SELECT a.n_name AS one, b.n_name AS two FROM {nation} a JOIN {nation} b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey")
 sql("join_hints", "SELECT /*+ BROADCAST(n), MERGE(s) */ n_name, count(*) AS pairs FROM {customer} c JOIN {nation} n ON c_nationkey = n_nationkey JOIN {supplier} s ON s_nationkey = n_nationkey GROUP BY n_name", "SELECT n_name, count(*) AS pairs FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name")
+sql("join_shuffle_hash", "SELECT /*+ SHUFFLE_HASH(o) */ c_mktsegment, count(*) AS n FROM {customer} c JOIN {orders} o ON c_custkey = o_custkey GROUP BY c_mktsegment", "SELECT c_mktsegment, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment")
 sql("exists_subquery", "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
 sql("in_subquery", "SELECT s_suppkey, s_name FROM {supplier} WHERE s_suppkey IN (SELECT l_suppkey FROM {lineitem} WHERE l_discount > 0.09 AND l_quantity < 3)")
 sql("scalar_subquery", "SELECT c_custkey, round(c_acctbal, 2) AS balance FROM {customer} c WHERE c_acctbal > (SELECT avg(d.c_acctbal) FROM {customer} d WHERE d.c_nationkey = c.c_nationkey)")
@@ -117,6 +120,8 @@ sql("percentiles", "SELECT p_brand, round(percentile(p_retailprice, 0.9), 4) AS
 sql("extremes", "SELECT c_nationkey, max_by(c_custkey, struct(c_acctbal, c_custkey)) AS richest, bool_or(c_acctbal < -900) AS in_debt, bit_xor(c_custkey) AS parity FROM {customer} GROUP BY c_nationkey", "SELECT c_nationkey, max_by(c_custkey, (c_acctbal, c_custkey)) AS richest, bool_or(c_acctbal < -900) AS in_debt, bit_xor(c_custkey) AS parity FROM customer GROUP BY c_nationkey")
 sql("moments", "SELECT l_returnflag, round(stddev(l_quantity), 6) AS spread, round(corr(l_quantity, l_extendedprice), 6) AS related, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM {lineitem} GROUP BY l_returnflag")
 sql("string_list", "SELECT n_regionkey, array_join(sort_array(collect_list(n_name)), ',') AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+sql("ordered_sets", "SELECT p_brand, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY p_retailprice), 4) AS lower_quarter, any_value(p_brand) AS brand, round(try_sum(p_retailprice), 2) AS total FROM {part} GROUP BY p_brand", "SELECT p_brand, round(quantile_cont(p_retailprice, 0.25), 4) AS lower_quarter, p_brand AS brand, round(sum(p_retailprice), 2) AS total FROM part GROUP BY p_brand")
+sql("listagg", "SELECT n_regionkey, listagg(n_name, ';') WITHIN GROUP (ORDER BY n_name DESC) AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")
 sql("distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM {orders}")
 
 
@@ -163,6 +168,7 @@ sql("offset_limit", "SELECT c_custkey, c_name FROM {customer} ORDER BY c_custkey
 sql("union_all", "SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}")
 sql("union_distinct", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}")
 sql("intersect_all", "SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey FROM {supplier}")
+sql("intersect_distinct", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}")
 sql("except_all", "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}")
 sql("except_distinct", "SELECT o_custkey AS k FROM {orders} EXCEPT SELECT c_custkey FROM {customer} WHERE c_acctbal > 0")
 sql("recursive", "WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
@@ -174,6 +180,8 @@ sql("patterns", "SELECT c_custkey, regexp_replace(c_name, '[0-9]+', '#') AS mask
 sql("dates", "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(dayofweek(o_orderdate) AS BIGINT) AS d, CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start, CAST(datediff(DATE '2002-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS age, CAST(o_orderdate + INTERVAL 3 DAYS AS DATE) AS due FROM {orders}", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, dayofweek(o_orderdate) + 1 AS d, CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start, datediff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') AS age, CAST(o_orderdate + INTERVAL 3 DAYS AS DATE) AS due FROM orders")
 sql("numbers", "SELECT l_orderkey, l_linenumber, l_extendedprice / nullif(l_quantity, 0) AS unit, CAST(floor(l_tax * 100) AS BIGINT) AS tax, greatest(l_tax, l_discount) AS larger, round(sqrt(l_quantity), 6) AS root, l_orderkey % 7 AS rest, abs(l_discount - l_tax) AS gap FROM {lineitem}")
 sql("json_fields", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {events}", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+sql("json_parsed", "SELECT event_id, from_json(props, 'k BIGINT').k AS typed, variant_get(parse_json(props), '$.k', 'bigint') AS loose FROM {events}", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS typed, CAST(json_extract_string(props, '$.k') AS BIGINT) AS loose FROM events")
+sql("zipped", "SELECT p_partkey, aggregate(zip_with(array(p_size, p_size + 1), array(2, 3), (a, b) -> a * b), CAST(0 AS BIGINT), (s, x) -> s + x) AS dot, CAST(transform_values(map('a', p_size), (k, v) -> v * 2)['a'] AS BIGINT) AS doubled FROM {part}", "SELECT p_partkey, CAST(p_size * 2 + (p_size + 1) * 3 AS BIGINT) AS dot, CAST(p_size * 2 AS BIGINT) AS doubled FROM part")
 sql("arrays", "SELECT user_id, CAST(size(ids) AS BIGINT) AS n, ids[0] AS first_id, aggregate(ids, CAST(0 AS BIGINT), (a, x) -> a + x) AS total, CAST(size(filter(ids, x -> x % 2 = 0)) AS BIGINT) AS even FROM (SELECT user_id, sort_array(collect_list(event_id)) AS ids FROM {events} GROUP BY user_id)", "SELECT user_id, len(ids) AS n, ids[1] AS first_id, CAST(list_sum(ids) AS BIGINT) AS total, len(list_filter(ids, lambda x: x % 2 = 0)) AS even FROM (SELECT user_id, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY user_id)")
 sql("explode_array", "SELECT p_partkey, letter FROM {part} LATERAL VIEW explode(split(p_brand, '#')) AS letter", "SELECT p_partkey, unnest(string_split(p_brand, '#')) AS letter FROM part")
 sql("maps", "SELECT user_id, m['view'] AS views, CAST(size(map_filter(m, (k, v) -> v > 1)) AS BIGINT) AS repeated FROM (SELECT user_id, map_from_entries(collect_list(struct(event_type, n))) AS m FROM (SELECT user_id, event_type, count(*) AS n FROM {events} GROUP BY user_id, event_type) GROUP BY user_id)", "SELECT user_id, max(n) FILTER (WHERE event_type = 'view') AS views, count(*) FILTER (WHERE n > 1) AS repeated FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
@@ -211,12 +219,66 @@ def session_window(spark, sf_dir):
 @frame("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def streamed_window(spark, sf_dir):
     """The table as a stream, complete results of daily windows."""
-    import tempfile
-
     counts = streams.windowed_counts(streams.read_events(spark, sf_dir, "1 day", pattern="events.parquet"), "1 day")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    name = f"streamed_{uuid.uuid4().hex}"
-    return streams.drain(counts, "complete", f"{folder}/{name}", name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return _drained(spark, counts, "complete").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def _drained(spark, stream, mode):
+    name = f"stream_{uuid.uuid4().hex}"
+    return streams.drain(stream, mode, f"{shared_folder(spark)}/{name}", name)
+
+
+def _streamed(spark, sf_dir):
+    return streams.read_events(spark, sf_dir, "30 days", pattern="events.parquet")
+
+
+@frame(
+    """SELECT user_id, count(*) AS n FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 3 HOURS THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s"""
+)
+def streamed_sessions(spark, sf_dir):
+    return _drained(spark, streams.user_sessions(_streamed(spark, sf_dir), "3 hours"), "complete").select("user_id", "n")
+
+
+@frame("SELECT DISTINCT user_id, event_type FROM events")
+def streamed_deduplication(spark, sf_dir):
+    return _drained(spark, streams.first_of_each(_streamed(spark, sf_dir), "user_id", "event_type"), "append").select("user_id", "event_type")
+
+
+@frame("SELECT a.user_id, a.event_id AS left_id, b.event_id AS right_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR")
+def streamed_pairs(spark, sf_dir):
+    """A stream joined with a stream."""
+    return _drained(spark, streams.matched_within(_streamed(spark, sf_dir), _streamed(spark, sf_dir), 3600), "append")
+
+
+@frame("SELECT event_id, user_id, c_mktsegment FROM events JOIN customer ON user_id = c_custkey")
+def streamed_static_join(spark, sf_dir):
+    return _drained(spark, streams.with_customers(_streamed(spark, sf_dir), table(spark, sf_dir, "customer")), "append")
+
+
+@frame("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def streamed_state(spark, sf_dir):
+    """State of our own, updated by batch; the table is one batch."""
+    return _drained(spark, streams.running_totals(_streamed(spark, sf_dir)), "update").select("user_id", "n")
+
+
+# File formats.
+
+
+def _round_trip(kind):
+    def run(spark, sf_dir):
+        path = f"{shared_folder(spark)}/nations_{uuid.uuid4().hex}"
+        nations = table(spark, sf_dir, "nation")
+        formats.write(nations, path, kind, ["n_regionkey"])
+        return formats.read(spark, path, kind, "n_nationkey int, n_name string, n_regionkey int").select(nations.columns)
+
+    return run
+
+
+for _kind in formats.FORMATS:
+    QUERIES[f"format_{_kind}"] = _round_trip(_kind)
+    ORACLES[f"format_{_kind}"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
 
 
 # Functions written in Python, in Arrow batches.

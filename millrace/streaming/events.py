@@ -53,8 +53,26 @@ def running_totals(events: DataFrame) -> DataFrame:
     return events.select("user_id", "value").groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "update", "NoTimeout")
 
 
-def drain(stream: DataFrame, mode: str, checkpoint: str, name: str) -> DataFrame:
-    """Runs the stream over all that is there and returns the sink's rows."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def with_customers(events: DataFrame, customers: DataFrame) -> DataFrame:
+    """Events of a stream with the market segment of their customer, from a table that doesn't stream."""
+    named = customers.select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    return events.join(named, "user_id").select("event_id", "user_id", "c_mktsegment")
+
+
+def drain(stream: DataFrame, mode: str, folder: str, name: str) -> DataFrame:
+    """Runs the stream over all that is there and returns its rows, those of the last batch alone in complete mode.
+
+    Rows and state are written below folder, which driver and executors must
+    share; a batch that is run again overwrites its own rows.
+    """
+    spark, batches = stream.sparkSession, []
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+        batches.append(number)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).queryName(name).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows/{max(batches)}" if mode == "complete" else f"{folder}/rows/*")
