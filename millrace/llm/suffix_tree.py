@@ -1,10 +1,12 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The tree's states are contexts of up to two words (or the beginning of the
-text); of a word that is too rare only the last two bytes count. A context is looked at if it is frequent enough, and retained if its
-next-symbol distribution diverges from that of its longest retained suffix: by
-KLs of at least LEAST_BITS, and by more than chance would give. A symbol is
-scored in the longest retained suffix of what precedes it.
+The tree's states are contexts of up to DEPTH words (or the beginning of the
+text and what follows it); of a first word that is too rare only the last two
+bytes count. A context is looked at if it is frequent enough and the context
+without its last word lists that word. It is retained if its next-symbol
+distribution diverges from that of its longest retained suffix: by KLs of at
+least LEAST_BITS, and by more than chance would give. A symbol is scored in the
+longest retained suffix of what precedes it.
 
 The root's distribution is that of single symbols. A state lists the symbols it
 is followed by often; the other frequent symbols, and the rare ones, each share
@@ -13,8 +15,9 @@ SMOOTH occurrences drawn from the suffix's distribution, so every state's
 probabilities sum to 1.
 
 Frequent means a share of the corpus of at least SHARE, so at most 1 / SHARE
-words, contexts and listed pairs exist at each depth however large the corpus
-is. These go to all tasks; the counts of all words stay distributed.
+words, contexts and listed symbols exist at each depth however large the corpus
+is. These go to all tasks; the counts of all words stay distributed. Texts are
+turned into numbers once, and every depth is counted from these.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from millrace.llm.common import cut, field, sliced
 SHARE, LISTED = 1e-6, 4
 #: Least count of a context; its least divergence in bits; the weight of its suffix's distribution.
 CONTEXT, LEAST_BITS, SMOOTH = 8, 0.01, 50.0
+#: Words that a context may have.
+DEPTH = 4
 #: Distinct words, or context and word pairs, that a task gathers before it hands counts on.
 HELD = 500_000
 END = b""
@@ -72,6 +77,21 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch({"h": hashes(list(held)), "c": np.fromiter(held.values(), np.int64, len(held))})
 
 
+class Level:
+    """The states of one depth: contexts by number, and the symbols that each lists.
+
+    A listed symbol is at keys as context << 32 | number, sorted; its place there
+    is the number, at the next depth, of the context with that symbol after it.
+    """
+
+    def __init__(self, size: int, frequent: np.ndarray):
+        self.keys, self.count, self.log = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        #: By context: whether it is retained, log10 factors of unlisted frequent and of rare symbols, and the mass of frequent ones.
+        self.kept, self.factor, self.frequent = np.zeros(size, bool), np.zeros((size, 2)), frequent
+        #: By place in keys: the context of this depth that is the suffix of the next depth's.
+        self.suffix = np.zeros(0, np.int64)
+
+
 class Model:
     """What every task needs.
 
@@ -86,83 +106,91 @@ class Model:
         self.begin = len(h)
         self.size = total + 0.5 * (kinds + 1)
         self.p0 = (self.c + 0.5) / self.size
+        self.root = np.log10(self.p0)
         self.least = max(LISTED, SHARE * total)
         self.contexts = max(CONTEXT, SHARE * total)
         self.mass = float(self.p0.sum())
         self.enough = np.append(self.c >= self.contexts, False)  # the last is for number -1
-        # depth 1: by context number, log10 factors of unlisted frequent and of rare words, and the mass of frequent words
-        size = self.begin + 1 + ENDINGS
-        self.factor1, self.frequent1, self.kept1 = np.zeros((size, 2)), np.full(size, self.mass), np.zeros(size, bool)
-        self.pairs, self.pair_count, self.pair_log = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        # depth 2: by pair
-        self.factor2, self.kept2 = np.zeros((0, 2)), np.zeros(0, bool)
-        self.triples, self.triple_log = np.zeros(0, np.int64), np.zeros(0)
-
-    def numbers(self, symbols: list[bytes], found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The symbols' numbers as continuations, -1 for rare ones, and as contexts. found: their hashes."""
+        self.levels: list[Level] = []
+
+    def numbers(self, symbols: list[bytes], found: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The symbols' numbers, -1 for rare ones, and the endings of those that are no context of their own. found: their hashes."""
         words = _search(self.h, found)
-        contexts = words.copy()
-        for i in np.flatnonzero(~self.enough[words]):
-            contexts[i] = self.begin + 1 + int.from_bytes(symbols[i][-2:], "big")
-        return words, contexts
-
-    def context(self, words: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For a text's symbols: the context of one word, the pair with it (or -1), and the pair that is the longer context (or -1)."""
-        before = np.concatenate([[self.begin], contexts[:-1]])
-        pair = np.where(words >= 0, _search(self.pairs, (before << 32) | words), -1)
-        return before, pair, np.concatenate([[-1], pair[:-1]])
-
-    def lower(self, before: np.ndarray, pair: np.ndarray, words: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 probability in the state of one word, or in the root where that isn't retained."""
-        kept = self.kept1[before]
-        listed = kept & (pair >= 0)
-        factor = np.where(kept, self.factor1[before, (words < 0).astype(int)], 0.0)
-        return np.where(listed, self.pair_log[pair] if len(self.pair_log) else 0.0, factor + root)
-
-    def score(self, words: np.ndarray, contexts: np.ndarray, root: np.ndarray) -> np.ndarray:
+        return words, [int.from_bytes(symbols[i][-2:], "big") for i in np.flatnonzero(~self.enough[words])]
+
+    def contexts_of(self, words: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        """The symbols' numbers as contexts of one word."""
+        out = words.astype(np.int64)
+        out[~self.enough[words]] = self.begin + 1 + endings
+        return out
+
+    def paths(self, words: np.ndarray, endings: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each depth, one beyond the last too: each symbol's context (or -1) and its place among the listed symbols (or -1).
+
+        starts: where texts begin in words.
+        """
+        before = np.roll(self.contexts_of(words, endings), 1)
+        before[starts] = self.begin
+        for level in self.levels:
+            place = np.where((before >= 0) & (words >= 0), _search(level.keys, (before << 32) | words), -1)
+            yield before, place
+            before = np.roll(place, 1)
+            before[starts] = -1
+        yield before, np.full(len(words), -1)
+
+    def score(self, words: np.ndarray, endings: np.ndarray, starts: np.ndarray, root: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol, root being that in the root."""
-        before, pair, context = self.context(words, contexts)
-        low = self.lower(before, pair, words, root)
-        if not len(self.kept2):
-            return low
-        kept = (context >= 0) & self.kept2[context]
-        triple = np.where(kept & (words >= 0), _search(self.triples, (context << 32) | words), -1)
-        factor = self.factor2[context, (words < 0).astype(int)]
-        return np.where(kept, np.where(triple >= 0, self.triple_log[triple] if len(self.triple_log) else 0.0, factor + low), low)
-
-    def grow1(self, rows: list[tuple[int, int, int, list[int], list[int]]]) -> None:
-        """rows: (context, its occurrences, those before a frequent word, and the listed continuations with counts)."""
-        pairs, numbers, logs = [], [], []
-        for s, n, frequent, words, listed in rows:
-            w, c = np.array(words, np.int64), np.array(listed, float)
-            own, factors, rare, bits = _state(c, frequent, n, self.p0[w], self.mass, 1 - self.mass)
-            pairs.append((s << 32) | w)
-            numbers.append(c)
-            logs.append(own)
-            if _diverges(bits, n, len(w)):
-                self.kept1[s], self.factor1[s], self.frequent1[s] = True, factors, 1 - rare
-        if pairs:
-            keys, c, log = np.concatenate(pairs), np.concatenate(numbers), np.concatenate(logs)
-            order = np.argsort(keys)
-            self.pairs, self.pair_count, self.pair_log = keys[order], c[order], log[order]
-        self.kept2, self.factor2 = np.zeros(len(self.pairs), bool), np.zeros((len(self.pairs), 2))
-
-    def grow2(self, rows: list[tuple[int, int, int, list[int], list[int]]]) -> None:
-        """rows: as in grow1, the contexts being pairs."""
-        keys, logs = [], []
-        for s, n, frequent, words, listed in rows:
-            w, c = np.array(words, np.int64), np.array(listed, float)
-            last = np.full(len(w), self.pairs[s] & 0xFFFFFFFF)
-            low = 10 ** self.lower(last, _search(self.pairs, (last << 32) | w), w, np.log10(self.p0[w]))
-            mass = self.frequent1[self.pairs[s] & 0xFFFFFFFF]
-            own, factors, _, bits = _state(c, frequent, n, low, mass, 1 - mass)
-            if _diverges(bits, n, len(w)):
-                self.kept2[s], self.factor2[s] = True, factors
-                keys.append((s << 32) | w)
-                logs.append(own)
-        if keys:
-            order = np.argsort(found := np.concatenate(keys))
-            self.triples, self.triple_log = found[order], np.concatenate(logs)[order]
+        low, rare = root, (words < 0).astype(int)
+        for level, (context, place) in zip(self.levels, self.paths(words, endings, starts), strict=False):
+            kept = (context >= 0) & level.kept[context]
+            other = level.factor[context, rare] + low
+            low = np.where(kept, np.where(place >= 0, level.log[place], other) if len(level.log) else other, low)
+        return low
+
+    def _below(self, depth: int, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """log10 probability of frequent words in contexts of the depth, or in their longest retained suffixes."""
+        if not depth:
+            return self.root[words]
+        level = self.levels[depth - 1]
+        low = self._below(depth - 1, self.levels[depth - 2].suffix[contexts] if depth > 1 else contexts, words)
+        place = _search(level.keys, (contexts << 32) | words)
+        own = np.where(place >= 0, level.log[place] if len(level.log) else 0.0, level.factor[contexts, 0] + low)
+        return np.where(level.kept[contexts], own, low)
+
+    def grow(self, s: np.ndarray, n: np.ndarray, frequent: np.ndarray, size: np.ndarray, words: np.ndarray, c: np.ndarray) -> None:
+        """Adds a depth.
+
+        s: contexts; n, frequent: their occurrences, and those before a frequent
+        word; size: how many words each lists; words, c: these, and their counts.
+        """
+        depth = len(self.levels)
+        last = self.levels[-1] if depth else None
+        suffix = last.suffix if depth else None
+        count = len(last.keys) if depth else self.begin + 1 + ENDINGS
+        level = Level(count, last.frequent[np.maximum(suffix, 0)] if depth else np.full(count, self.mass))
+        owner = np.repeat(np.arange(len(s)), size)
+        of = suffix[s] if depth else s
+        low = 10 ** self._below(depth, of[owner], words)
+
+        def total(values: np.ndarray) -> np.ndarray:
+            return np.bincount(owner, values, len(s))
+
+        whole, mass = n + SMOOTH, level.frequent[s]
+        own = (c + SMOOTH * low) / whole[owner]
+        others, rest = np.maximum(mass - total(low), 1e-12), np.maximum(1 - mass, 1e-12)
+        p1 = np.maximum(frequent - total(c) + SMOOTH * others, 1e-12) / whole
+        p2 = np.maximum(n - frequent + SMOOTH * rest, 1e-12) / whole
+        bits = total(own * np.log2(own / low)) + p1 * np.log2(p1 / others) + p2 * np.log2(p2 / rest)
+        kept = _diverges(bits, n, size)
+        level.kept[s] = kept
+        level.factor[s] = np.stack([np.log10(p1 / others), np.log10(p2 / rest)], 1)
+        level.frequent[s] = np.where(kept, 1 - p2, mass)
+        keys = (s[owner] << 32) | words
+        order = np.argsort(keys)
+        level.keys, level.count, level.log = keys[order], c[order], np.log10(own)[order]
+        followed = level.keys & 0xFFFFFFFF
+        level.suffix = followed if not depth else _search(last.keys, (suffix[level.keys >> 32] << 32) | followed)
+        self.levels.append(level)
 
 
 def _search(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -173,31 +201,43 @@ def _search(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == wanted, at, -1)
 
 
-def _state(c: np.ndarray, frequent: float, n: float, parent: np.ndarray, mass: float, rest: float) -> tuple[np.ndarray, tuple[float, float], float, float]:
-    """A state's log10 probabilities of listed symbols, log10 factors of the others, mass of rare ones, and divergence in bits.
+def _diverges(bits: np.ndarray, n: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Whether the divergence is large, and more than that of n draws from the suffix's own distribution."""
+    freedom = listed + 1
+    return (bits >= LEAST_BITS) & (2 * math.log(2) * n * bits > freedom + 4 * np.sqrt(2 * freedom))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers and endings of a batch's texts in a row, and where each text begins."""
+    words = batch.column("words")
+    lengths = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    endings = batch.column("endings").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return flat, endings, np.cumsum(lengths) - lengths
 
-    c, parent: listed symbols' counts and probabilities in the suffix; frequent:
-    count of all frequent symbols; n: count of all; mass, rest: the suffix's
-    probability of frequent and of rare symbols.
-    """
-    whole = n + SMOOTH
-    own = (c + SMOOTH * parent) / whole
-    others = max(mass - float(parent.sum()), 1e-12)
-    rest = max(rest, 1e-12)
-    p1 = max(frequent - c.sum() + SMOOTH * others, 1e-12) / whole
-    p2 = max(n - frequent + SMOOTH * rest, 1e-12) / whole
-    bits = float((own * np.log2(own / parent)).sum() + p1 * math.log2(p1 / others) + p2 * math.log2(p2 / rest))
-    return np.log10(own), (math.log10(p1 / others), math.log10(p2 / rest)), p2, bits
 
+def _numbered(model):
+    """A function for mapInArrow: each text's NUMBERED columns in place of the text, which comes last."""
 
-def _diverges(bits: float, n: float, listed: int) -> bool:
-    """Whether the divergence is large, and more than that of n draws from the suffix's own distribution."""
-    freedom = listed + 1
-    return bits >= LEAST_BITS and 2 * math.log(2) * n * bits > freedom + 4 * math.sqrt(2 * freedom)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        for batch in sliced(batches):
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                symbols = tokens(text)
+                found = hashes(symbols)
+                words, endings = m.numbers(symbols, found)
+                known = words[words >= 0]
+                for out, value in zip(rows, (len(found), len(known), float(m.root[known].sum()), words.astype(np.int32), endings, found[words < 0]), strict=True):
+                    out.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(v, k) for v, k in zip(rows, kinds, strict=True))], names=[*batch.schema.names[:-1], *(f.name for f in NUMBERED)])
+
+    return run
 
 
-def _continuations(model, depth: int):
-    """A function for mapInArrow: counts of (context, frequent word) of training texts."""
+def _continuations(model):
+    """A function for mapInArrow: of numbered training texts, counts of (context of the next depth, frequent word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
@@ -208,17 +248,13 @@ def _continuations(model, depth: int):
             return _batch({"s": keys >> 32, "w": (keys & 0xFFFFFFFF).astype(np.int32), "c": counts.astype(np.int64)})
 
         for batch in sliced(batches):
-            for text in batch.column(0).to_pylist():
-                symbols = tokens(text)
-                words, contexts = m.numbers(symbols, hashes(symbols))
-                before, _, context = m.context(words, contexts)
-                ok = before >= 0
-                if depth == 2:
-                    before, ok = context, context >= 0
-                    if len(m.pair_count):
-                        ok &= m.pair_count[context] >= m.contexts
-                held.append((before[ok] << 32) | np.where(words < 0, RARE, words)[ok])
-                size += len(held[-1])
+            words, endings, starts = _flat(batch)
+            *_, (context, _) = m.paths(words, endings, starts)
+            ok = context >= 0
+            if m.levels:
+                ok &= np.append(m.levels[-1].count, 0)[context] >= m.contexts
+            held.append((context[ok] << 32) | np.where(words < 0, RARE, words)[ok])
+            size += len(held[-1])
             if size > 4 * HELD:
                 yield hand_on()
                 held, size = [], 0
@@ -228,72 +264,81 @@ def _continuations(model, depth: int):
     return run
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str) -> tuple[Model, DataFrame]:
-    """The model, and the counts (h, c) of all words by hash."""
-    context = docs.sparkSession.sparkContext
+def _words(docs: DataFrame, id_col: str, text_col: str) -> tuple[Model, DataFrame]:
+    """The model with its root alone, and the counts (h, c) of all words by hash."""
     texts = docs.filter(~held_out(docs, id_col)).select(text_col)
     counts = cut(texts.mapInArrow(count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     frequent = counts.filter(F.col("c") >= max(LISTED, SHARE * total)).toArrow()
-    model = Model(frequent["h"].to_numpy(), frequent["c"].to_numpy(), total, kinds)
-    for depth in (1, 2):
+    return Model(frequent["h"].to_numpy(), frequent["c"].to_numpy(), total, kinds), counts
+
+
+def _grow(model: Model, texts: DataFrame, depth: int) -> None:
+    """Adds states of up to depth words, as long as any context is frequent enough. texts: numbered training texts."""
+    context = texts.sparkSession.sparkContext
+    while len(model.levels) < depth and (not model.levels or (model.levels[-1].count >= model.contexts).any()):
         sent = context.broadcast(model)
-        found = texts.mapInArrow(_continuations(sent, depth), "s long, w int, c long").groupBy("s", "w").agg(F.sum("c").alias("c"))
+        found = texts.mapInArrow(_continuations(sent), "s long, w int, c long").groupBy("s", "w").agg(F.sum("c").alias("c"))
         known = F.col("w") != RARE
         listed = F.collect_list(F.when(known & (F.col("c") >= model.least), F.struct("w", "c")))
-        lists = found.groupBy("s").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(known, F.col("c"))), F.lit(0)).alias("frequent"), F.sort_array(listed).alias("listed"))
-        table = lists.filter((F.size("listed") > 0) & (F.col("n") >= model.contexts)).select("s", "n", "frequent", "listed.w", "listed.c").toArrow()
-        rows = list(zip(*(table[k].to_pylist() for k in range(5)), strict=True))
-        (model.grow1 if depth == 1 else model.grow2)(rows)
-    return model, counts
+        lists = found.groupBy("s").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(known, F.col("c"))), F.lit(0)).alias("frequent"), listed.alias("listed"))
+        rows = lists.filter((F.size("listed") > 0) & (F.col("n") >= model.contexts)).select("s", "n", "frequent", F.size("listed").alias("size"), "listed.w", "listed.c")
+        table = rows.toArrow()
+        s, n, frequent, size = (table[k].to_numpy() for k in range(4))
+        w, c = (table[k].combine_chunks().flatten().to_numpy() for k in (4, 5))
+        model.grow(s, n.astype(float), frequent.astype(float), size.astype(np.int64), w.astype(np.int64), c.astype(float))
+        sent.unpersist()
 
 
-SCORED = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType()))]
+NUMBERED = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("endings", T.ArrayType(T.IntegerType())), T.StructField("rare", T.ArrayType(T.LongType()))]
 
 
 def _scorer(model):
-    """A function for mapInArrow: each text's sums over frequent words, and the hashes of its rare words."""
+    """A function for mapInArrow: the log10 probability of each numbered text's frequent words, and the factors of its rare ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        root = np.log10(m.p0)
         for batch in sliced(batches):
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                symbols = tokens(text)
-                found = hashes(symbols)
-                words, contexts = m.numbers(symbols, found)
-                known = words >= 0
-                base = np.where(known, root[words] if len(root) else 0.0, 0.0)
-                for out, value in zip(rows, (len(found), int(known.sum()), float(base.sum()), float(m.score(words, contexts, base).sum()), found[~known]), strict=True):
-                    out.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(v, k) for v, k in zip(rows, kinds, strict=True))], names=[*batch.schema.names[:-1], *(f.name for f in SCORED)])
+            words, endings, starts = _flat(batch)
+            root = np.append(m.root, 0.0)[words]
+            sums = np.add.reduceat(m.score(words, endings, starts, root), starts)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(sums)], names=[*batch.schema.names[:-2], "score"])
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fit(docs: DataFrame, id_col: str, text_col: str, depth: int = DEPTH) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the counts (h, c) of all words by hash, and all rows as numbers (id, held_out, row, NUMBERED)."""
+    model, counts = _words(docs, id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(id_col).alias("id"), held_out(docs, id_col).alias("held_out"), F.col(text_col).alias("text"))
+    schema = T.StructType([T.StructField("id", field(docs, id_col).dataType), T.StructField("held_out", T.BooleanType()), *NUMBERED])
+    numbered = cut(rows.mapInArrow(_numbered(sent), schema).withColumn("row", F.monotonically_increasing_id()))
+    _grow(model, numbered.filter(~F.col("held_out")).select("words", "endings"), depth)
+    return model, counts, numbered
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     The model learns from rows whose crc32 of the id as text isn't 1 modulo 5;
-    a null id counts as an empty text there. A null or empty text is its end
-    alone. Repeated rows are learned from and scored each. With nothing to
-    learn from, every symbol is unknown. Other columns are ignored. An empty
-    table gives an empty table.
+    a null id counts as an empty text there. depth: words that a context may
+    have. A null or empty text is its end alone. Repeated rows are learned from
+    and scored each. With nothing to learn from, every symbol is unknown. Other
+    columns are ignored. An empty table gives an empty table.
     """
-    model, counts = fit(docs, id_col, text_col)
+    model, counts, numbered = fit(docs, id_col, text_col, depth)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col), held_out(docs, id_col).alias("held_out"), F.col(text_col))
-    schema = T.StructType([field(docs, id_col), T.StructField("held_out", T.BooleanType()), *SCORED])
-    scored = cut(rows.mapInArrow(_scorer(sent), schema).withColumn("row", F.monotonically_increasing_id()))
-    unsure = scored.select("row", F.explode("rare").alias("h"))
+    plain = ("row", "id", "held_out", "n_tokens", "n_known", "base")
+    known = T.StructType([*(numbered.schema[c] for c in plain), T.StructField("score", T.DoubleType())])
+    scored = numbered.select(*plain, "words", "endings").mapInArrow(_scorer(sent), known)
+    unsure = numbered.select("row", F.explode("rare").alias("h"))
     c = F.coalesce("c", F.lit(0))
     found = unsure.join(counts, "h", "left").groupBy("row").agg(F.sum(F.log10((c + 0.5) / F.lit(model.size))).alias("more"), F.sum((c > 0).cast("long")).alias("known"))
-    both = scored.drop("rare").join(found, "row", "left")
+    both = scored.join(found, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return both.select(
-        id_col,
+        F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),

@@ -50,29 +50,123 @@ def test_probabilities_sum_to_one(spark):
     def text():
         out = ["a"]
         while len(out) < 60:
+            if len(out) > 2 and rng.random() < 0.3:
+                out.append(out[-3])
             out.append(rng.choice(follow.get(out[-1], "abc")) if rng.random() < 0.8 else rng.choice(["rare%d" % rng.randrange(300), *"abc"]))
         return " ".join(out)
     docs = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
     for share in (1e-6, 0.004):
         old, st.SHARE = st.SHARE, share
         try:
-            model, counts = st.fit(docs, "doc_id", "text")
+            model, counts, _ = st.fit(docs, "doc_id", "text")
         finally:
             st.SHARE = old
-        assert model.kept1.sum() >= 5
+        assert model.levels[0].kept.sum() >= 5 and (share > 1e-6 or model.levels[2].kept.any())
         every = {r.h: r.c for r in counts.collect()}
         known = np.array(list(every), np.int64)
         root = np.log10((np.array([*every.values(), 0]) + 0.5) / model.size)
-        for context in (["a"], ["b"], ["a", "b"], [follow["a"][0], "zzz"], [], ["a", follow["a"][0]], ["c", follow["c"][1]]):
+        second, third = follow["a"][0], follow[follow["a"][0]][0]
+        for context in (["a"], ["b"], ["a", "b"], [second, "zzz"], [], ["a", second], ["c", follow["c"][1]], ["a", second, third], ["zzz", "a", second, third]):
             before = [w.encode() for w in context]
-            words, contexts = model.numbers(before, st.hashes(before))
+            words, endings = model.numbers(before, st.hashes(before))
             numbers = np.append(model.numbers([b"?"] * len(known), known)[0], -1)
             total = 0.0
             for n, r in zip(numbers, root, strict=True):
-                total += 10 ** model.score(np.append(words, n), np.append(contexts, n), np.append(np.zeros(len(before)), r))[-1]
+                ends = np.array(endings + ([] if model.enough[n] else [0]), np.int64)
+                total += 10 ** model.score(np.append(words, n), ends, np.array([0]), np.append(np.zeros(len(before)), r))[-1]
             assert total == pytest.approx(1, abs=1e-6)
 
 
+def plain_scores(rows, depth):
+    """Scores by dictionaries of contexts, which are tuples of words; a rare first word is there by its ending."""
+    train = [symbols(t) for i, t in rows if not is_held(i)]
+    counts = Counter(s for t in train for s in t)
+    total = sum(counts.values())
+    size = total + 0.5 * (len(counts) + 1)
+    least, enough = max(st.LISTED, st.SHARE * total), max(st.CONTEXT, st.SHARE * total)
+    frequent = {w for w, c in counts.items() if c >= least}
+    root = lambda w: (counts[w] + 0.5) / size
+    mass = sum(root(w) for w in frequent)
+
+    def first(w):
+        return w if w in frequent and counts[w] >= enough else ("ending", w.encode()[-2:])
+
+    def contexts(before):
+        """Of one word, two and so on; with the beginning as far as it is near enough."""
+        out = [(first(before[-1]),)] if before else [(("begin",),)]
+        for n in range(2, depth + 1):
+            if n == len(before) + 1:
+                out.append((("begin",), *before))
+            elif n <= len(before):
+                out.append((first(before[-n]), *before[len(before) - n + 1 :]))
+            else:
+                break
+        return out
+
+    follow = {}
+    for t in train:
+        for i, w in enumerate(t):
+            for context in contexts(t[:i]):
+                follow.setdefault(context, Counter())[w if w in frequent else None] += 1
+    listed = {s: {w: c for w, c in f.items() if w is not None and c >= least} for s, f in follow.items()}
+    states = {}
+
+    def exists(s):
+        """Whether the context without its last word is looked at and lists that often enough."""
+        f = follow.get(s)
+        if f is None or sum(f.values()) < enough or not listed[s]:
+            return False
+        return len(s) == 1 or (exists(s[:-1]) and listed[s[:-1]].get(s[-1], 0) >= enough)
+
+    def suffix(s):
+        return (first(s[1]), *s[2:]) if len(s) > 1 else None
+
+    def probability(s, w):
+        """Of a word in the longest retained suffix, and the mass of frequent words there."""
+        if s is None:
+            return root(w), mass
+        state = states.get(s)
+        low, held = probability(suffix(s), w)
+        if not state:
+            return low, held
+        own, p1, p2, share = state
+        return (own[w] if w in own else low * (p1 if w in frequent else p2)), share
+
+    for s in sorted((s for s in follow if exists(s)), key=len):
+        f, n = follow[s], sum(follow[s].values())
+        low = {w: probability(suffix(s), w)[0] for w in listed[s]}
+        held = probability(suffix(s), "")[1]
+        others, rest = max(held - sum(low.values()), 1e-12), max(1 - held, 1e-12)
+        own = {w: (c + st.SMOOTH * low[w]) / (n + st.SMOOTH) for w, c in listed[s].items()}
+        p1 = max(n - f[None] - sum(listed[s].values()) + st.SMOOTH * others, 1e-12) / (n + st.SMOOTH)
+        p2 = max(f[None] + st.SMOOTH * rest, 1e-12) / (n + st.SMOOTH)
+        bits = sum(p * math.log2(p / low[w]) for w, p in own.items()) + p1 * math.log2(p1 / others) + p2 * math.log2(p2 / rest)
+        free = len(own) + 1
+        if bits >= st.LEAST_BITS and 2 * math.log(2) * n * bits > free + 4 * math.sqrt(2 * free):
+            states[s] = own, p1 / others, p2 / rest, 1 - p2
+
+    def text(t):
+        return sum(math.log10(probability(contexts(t[:i])[-1], w)[0]) for i, w in enumerate(t))
+
+    return [text(symbols(t)) for _, t in rows], Counter(len(s) for s in states)
+
+
+@pytest.mark.parametrize("share", [1e-6, 0.002])
+def test_against_dictionaries(spark, share, monkeypatch):
+    monkeypatch.setattr(st, "SHARE", share)
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+    rng = random.Random(9)
+    rows += [(10_000 + i, " ".join(rng.choice(["the big red fox jumps far", "the big red hen sits down", "rare%d big red cat" % i, "x y"]) for _ in range(20))) for i in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for depth in (1, 2, 4):
+        found = {r.doc_id: r.score for r in st.score(table, depth=depth).collect()}
+        want, kept = plain_scores(rows, depth)
+        assert max(kept) == depth or share > 1e-6  # a thin tree has no deeper states
+        assert [found[i] for i, _ in rows] == pytest.approx(want, rel=1e-9, abs=1e-6)
+
+
 def test_query(spark):
     from millrace.llm.queries import QUERIES
 
