@@ -1,23 +1,27 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The tree's states are contexts of up to DEPTH words (or the beginning of the
-text and what follows it); of a first word that is too rare only the last two
-bytes count. A context is looked at if it is frequent enough and the context
-without its last word lists that word. It is retained if its next-symbol
-distribution diverges from that of its longest retained suffix: by KLs of at
-least LEAST_BITS, and by more than chance would give. A symbol is scored in the
-longest retained suffix of what precedes it.
-
-The root's distribution is that of single symbols. A state lists the symbols it
-is followed by often; the other frequent symbols, and the rare ones, each share
-what is left, in proportion to the suffix's distribution. Counts are smoothed by
-SMOOTH occurrences drawn from the suffix's distribution, so every state's
-probabilities sum to 1.
-
-Frequent means a share of the corpus of at least SHARE, so at most 1 / SHARE
-words, contexts and listed symbols exist at each depth however large the corpus
-is. These go to all tasks; the counts of all words stay distributed. Texts are
-turned into numbers once, and every depth is counted from these.
+The tree's states are contexts of up to DEPTH words, or the beginning of the text
+and what follows it. A context that occurs CONTEXT times in the training texts is
+looked at; it is retained if its next-symbol distribution diverges from that of
+its longest retained suffix: by KL of at least LEAST_BITS, and by more than chance
+would give. These limits are the same at every size, so the tree grows with the
+corpus. A symbol is scored in the longest retained suffix of what precedes it.
+
+Counts are smoothed by the suffix's distribution, the root's being that of single
+symbols: it gets DISCOUNT of the count of each symbol seen in the context, and SMOOTH
+occurrences besides, so every state's probabilities sum to 1. The
+symbols of a state are the VOCABULARY most frequent words that occur FREQUENT times;
+all others are one symbol there, which they share in proportion to their root
+probability. As a part of contexts every word counts by itself.
+
+All contexts that end in one word are suffixes or extensions of each other. So each
+occurrence of a symbol is dealt, with the words before it, by its last word into
+buckets of about BUCKET occurrences; there the states are found and the symbols
+scored, without the rest of the tree. A context with half a bucket of occurrences is
+dealt by the word before it, and so on; its own counts, summed up beforehand, go to
+all buckets of its occurrences. No task holds more than some buckets' worth, and
+only the vocabulary and the contexts dealt on, of which there are at most 2 ** 21 at
+each depth, are sent to all tasks.
 """
 
 from __future__ import annotations
@@ -35,17 +39,21 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import cut, field, sliced
 
-#: Least share of all training tokens, and least count, of a frequent word and of a listed continuation.
-SHARE, LISTED = 1e-6, 4
-#: Least count of a context; its least divergence in bits; the weight of its suffix's distribution.
-CONTEXT, LEAST_BITS, SMOOTH = 8, 0.01, 50.0
+#: Symbols that a state tells apart at most, and their least count.
+VOCABULARY, FREQUENT = 1 << 20, 2
+#: Least count of a context; its least divergence in bits.
+CONTEXT, LEAST_BITS = 8, 0.01
+#: What is taken from the count of each symbol seen in a context and goes to the suffix's distribution; occurrences drawn from that besides.
+DISCOUNT, SMOOTH = 0.75, 5.0
 #: Words that a context may have.
 DEPTH = 4
-#: Distinct words, or context and word pairs, that a task gathers before it hands counts on.
+#: Occurrences in a bucket; there are at most 2 ** 20 buckets, which grow beyond that.
+BUCKET, BUCKETS = 1_000_000, 1 << 20
+#: Distinct words, or occurrences, that a task gathers before it hands them on.
 HELD = 500_000
 END = b""
-#: Endings of rare words, and the number that stands for a rare continuation.
-ENDINGS, RARE = 1 << 16, (1 << 31) - 1
+#: In place of a context's word: the beginning of the text, and nothing (no context is that long, or it is too rare).
+BEGIN, NONE = 1 << 40, 1 << 41
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -77,245 +85,329 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch({"h": hashes(list(held)), "c": np.fromiter(held.values(), np.int64, len(held))})
 
 
-class Level:
-    """The states of one depth: contexts by number, and the symbols that each lists.
-
-    A listed symbol is at keys as context << 32 | number, sorted; its place there
-    is the number, at the next depth, of the context with that symbol after it.
-    """
+def _search(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of wanted values in a sorted array, -1 where absent."""
+    if not len(sorted_):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
+    return np.where(sorted_[at] == wanted, at, -1)
 
-    def __init__(self, size: int, frequent: np.ndarray):
-        self.keys, self.count, self.log = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        #: By context: whether it is retained, log10 factors of unlisted frequent and of rare symbols, and the mass of frequent ones.
-        self.kept, self.factor, self.frequent = np.zeros(size, bool), np.zeros((size, 2)), frequent
-        #: By place in keys: the context of this depth that is the suffix of the next depth's.
-        self.suffix = np.zeros(0, np.int64)
 
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two columns of 64 bits (the finalizer of splitmix64)."""
+    x = (a.view(np.uint64) + np.uint64(0xD1B54A32D192ED03)) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
 
-class Model:
-    """What every task needs.
 
-    Frequent words have numbers 0.. in order of their hash. The beginning of a
-    text has the next number, and the endings of rare words those after it;
-    these are only contexts.
-    """
+class Words:
+    """The vocabulary: words numbered in falling order of their count; the number after the last stands for all others."""
 
     def __init__(self, h: np.ndarray, c: np.ndarray, total: int, kinds: int):
-        order = np.argsort(h)
-        self.h, self.c, self.total, self.kinds = h[order], c[order], total, kinds
-        self.begin = len(h)
+        order = np.lexsort((h, -c))
+        by_hash = np.argsort(h[order])
+        self.h, self.number = h[order][by_hash], by_hash.astype(np.int64)
+        self.c, self.total, self.other = c[order], total, len(h)
         self.size = total + 0.5 * (kinds + 1)
-        self.p0 = (self.c + 0.5) / self.size
-        self.root = np.log10(self.p0)
-        self.least = max(LISTED, SHARE * total)
-        self.contexts = max(CONTEXT, SHARE * total)
-        self.mass = float(self.p0.sum())
-        self.enough = np.append(self.c >= self.contexts, False)  # the last is for number -1
-        self.levels: list[Level] = []
-
-    def numbers(self, symbols: list[bytes], found: np.ndarray) -> tuple[np.ndarray, list[int]]:
-        """The symbols' numbers, -1 for rare ones, and the endings of those that are no context of their own. found: their hashes."""
-        words = _search(self.h, found)
-        return words, [int.from_bytes(symbols[i][-2:], "big") for i in np.flatnonzero(~self.enough[words])]
-
-    def contexts_of(self, words: np.ndarray, endings: np.ndarray) -> np.ndarray:
-        """The symbols' numbers as contexts of one word."""
-        out = words.astype(np.int64)
-        out[~self.enough[words]] = self.begin + 1 + endings
-        return out
-
-    def paths(self, words: np.ndarray, endings: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each depth, one beyond the last too: each symbol's context (or -1) and its place among the listed symbols (or -1).
-
-        starts: where texts begin in words.
-        """
-        before = np.roll(self.contexts_of(words, endings), 1)
-        before[starts] = self.begin
-        for level in self.levels:
-            place = np.where((before >= 0) & (words >= 0), _search(level.keys, (before << 32) | words), -1)
-            yield before, place
-            before = np.roll(place, 1)
-            before[starts] = -1
-        yield before, np.full(len(words), -1)
-
-    def score(self, words: np.ndarray, endings: np.ndarray, starts: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol, root being that in the root."""
-        low, rare = root, (words < 0).astype(int)
-        for level, (context, place) in zip(self.levels, self.paths(words, endings, starts), strict=False):
-            kept = (context >= 0) & level.kept[context]
-            other = level.factor[context, rare] + low
-            low = np.where(kept, np.where(place >= 0, level.log[place], other) if len(level.log) else other, low)
-        return low
-
-    def _below(self, depth: int, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """log10 probability of frequent words in contexts of the depth, or in their longest retained suffixes."""
-        if not depth:
-            return self.root[words]
-        level = self.levels[depth - 1]
-        low = self._below(depth - 1, self.levels[depth - 2].suffix[contexts] if depth > 1 else contexts, words)
-        place = _search(level.keys, (contexts << 32) | words)
-        own = np.where(place >= 0, level.log[place] if len(level.log) else 0.0, level.factor[contexts, 0] + low)
-        return np.where(level.kept[contexts], own, low)
-
-    def grow(self, s: np.ndarray, n: np.ndarray, frequent: np.ndarray, size: np.ndarray, words: np.ndarray, c: np.ndarray) -> None:
-        """Adds a depth.
-
-        s: contexts; n, frequent: their occurrences, and those before a frequent
-        word; size: how many words each lists; words, c: these, and their counts.
-        """
-        depth = len(self.levels)
-        last = self.levels[-1] if depth else None
-        suffix = last.suffix if depth else None
-        count = len(last.keys) if depth else self.begin + 1 + ENDINGS
-        level = Level(count, last.frequent[np.maximum(suffix, 0)] if depth else np.full(count, self.mass))
-        owner = np.repeat(np.arange(len(s)), size)
-        of = suffix[s] if depth else s
-        low = 10 ** self._below(depth, of[owner], words)
-
-        def total(values: np.ndarray) -> np.ndarray:
-            return np.bincount(owner, values, len(s))
-
-        whole, mass = n + SMOOTH, level.frequent[s]
-        own = (c + SMOOTH * low) / whole[owner]
-        others, rest = np.maximum(mass - total(low), 1e-12), np.maximum(1 - mass, 1e-12)
-        p1 = np.maximum(frequent - total(c) + SMOOTH * others, 1e-12) / whole
-        p2 = np.maximum(n - frequent + SMOOTH * rest, 1e-12) / whole
-        bits = total(own * np.log2(own / low)) + p1 * np.log2(p1 / others) + p2 * np.log2(p2 / rest)
-        kept = _diverges(bits, n, size)
-        level.kept[s] = kept
-        level.factor[s] = np.stack([np.log10(p1 / others), np.log10(p2 / rest)], 1)
-        level.frequent[s] = np.where(kept, 1 - p2, mass)
-        keys = (s[owner] << 32) | words
-        order = np.argsort(keys)
-        level.keys, level.count, level.log = keys[order], c[order], np.log10(own)[order]
-        followed = level.keys & 0xFFFFFFFF
-        level.suffix = followed if not depth else _search(last.keys, (suffix[level.keys >> 32] << 32) | followed)
-        self.levels.append(level)
+        self.root = np.append(self.c + 0.5, total - self.c.sum() + 0.5 * (kinds - len(h) + 1)) / self.size
+        #: By number: whether a context may hold the word. Other words may unless all are rarer than a context must be.
+        self.enough = np.append(self.c >= CONTEXT, not len(h) or self.c.min() > CONTEXT)
 
+    def numbers(self, found: np.ndarray) -> np.ndarray:
+        """Hashes as numbers, -1 for other words."""
+        at = _search(self.h, found)
+        return np.where(at >= 0, self.number[at] if len(self.number) else at, -1)
 
-def _search(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of wanted values in a sorted array, -1 where absent."""
-    if not len(sorted_):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
-    return np.where(sorted_[at] == wanted, at, -1)
 
+def _floor(histogram: list[tuple[int, int]]) -> int:
+    """The least count of a vocabulary word. histogram: (least count of a range, words in it)."""
+    words, floor = 0, 1 << 62
+    for least, kinds in sorted(histogram, reverse=True):
+        words += kinds
+        if words > VOCABULARY:
+            break
+        floor = least
+    return max(floor, FREQUENT)
 
-def _diverges(bits: np.ndarray, n: np.ndarray, listed: np.ndarray) -> np.ndarray:
-    """Whether the divergence is large, and more than that of n draws from the suffix's own distribution."""
-    freedom = listed + 1
-    return (bits >= LEAST_BITS) & (2 * math.log(2) * n * bits > freedom + 4 * np.sqrt(2 * freedom))
+
+def _words(docs: DataFrame, id_col: str, text_col: str) -> tuple[Words, DataFrame]:
+    """The vocabulary, and the counts (h, c) of all words by hash."""
+    texts = docs.filter(~held_out(docs, id_col)).select(text_col)
+    counts = cut(texts.mapInArrow(count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+    ranges = counts.groupBy(F.floor(F.log2("c") * 8).alias("range")).agg(F.min("c").alias("least"), F.count("*").alias("kinds"), F.sum("c").alias("c")).collect()
+    total, kinds = sum(r.c for r in ranges), sum(r.kinds for r in ranges)
+    found = counts.filter(F.col("c") >= _floor([(r.least, r.kinds) for r in ranges])).toArrow()
+    return Words(found["h"].to_numpy(), found["c"].to_numpy(), total, kinds), counts
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The numbers and endings of a batch's texts in a row, and where each text begins."""
-    words = batch.column("words")
-    lengths = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    endings = batch.column("endings").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return flat, endings, np.cumsum(lengths) - lengths
+NUMBERED = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("others", T.ArrayType(T.LongType()))]
 
 
-def _numbered(model):
-    """A function for mapInArrow: each text's NUMBERED columns in place of the text, which comes last."""
+def _numbered(sent):
+    """A function for mapInArrow: each text's NUMBERED columns in place of the text, which comes last. base lacks the other words, whose hashes are in others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
+        v: Words = sent.value
+        log = np.log10(v.root)
         for batch in sliced(batches):
-            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [])
             for text in batch.column(batch.num_columns - 1).to_pylist():
-                symbols = tokens(text)
-                found = hashes(symbols)
-                words, endings = m.numbers(symbols, found)
+                found = hashes(tokens(text))
+                words = v.numbers(found)
                 known = words[words >= 0]
-                for out, value in zip(rows, (len(found), len(known), float(m.root[known].sum()), words.astype(np.int32), endings, found[words < 0]), strict=True):
+                for out, value in zip(rows, (len(found), len(known), float(log[known].sum()), words.astype(np.int32), found[words < 0]), strict=True):
                     out.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(v, k) for v, k in zip(rows, kinds, strict=True))], names=[*batch.schema.names[:-1], *(f.name for f in NUMBERED)])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, k) for x, k in zip(rows, kinds, strict=True))], names=[*batch.schema.names[:-1], *(f.name for f in NUMBERED)])
 
     return run
 
 
-def _continuations(model):
-    """A function for mapInArrow: of numbered training texts, counts of (context of the next depth, frequent word)."""
+class Hot:
+    """The contexts that are dealt on by the word before them, each with its words (the last first) and its count."""
+
+    def __init__(self, total: int):
+        self.piece = max(BUCKET, total // BUCKETS)
+        self.buckets = max(1, -(-total // self.piece))
+        self.least = max(1, self.piece // 2)
+        self.known: dict[int, tuple[tuple[int, ...], int]] = {}
+        self.sort()
+
+    def sort(self) -> None:
+        self.s = np.array(sorted(self.known), np.int64)
+        self.parts = np.array([self.known[s][1] // self.least + 1 for s in self.s.tolist()] or [1], np.int64)
+
+    def targets(self, words: tuple[int, ...]) -> set[int]:
+        """The buckets that hold occurrences of a hot context."""
+        found: set[int] = set()
+        for s, parts in zip(self.s.tolist(), self.parts.tolist(), strict=False):
+            if self.known[s][0][: len(words)] == words:
+                found.update((s % self.buckets + x) % self.buckets for x in range(min(parts, self.buckets)))
+        return found
+
+
+def _occurrences(v: Words, depth: int, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every symbol of a batch's texts (words, others) that has a context: those words, the last first; its number; its text's place in the batch."""
+    lists = batch.column("words")
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    own, enough = flat.copy(), v.enough[flat]
+    own[flat < 0] = batch.column("others").flatten().to_numpy(zero_copy_only=False) | np.int64(-(1 << 63))
+    own = np.where(enough, own, NONE)
+    before = np.empty((depth, len(flat)), np.int64)
+    ended = np.zeros(len(flat), bool)
+    for d in range(depth):
+        before[d, : d + 1] = NONE
+        before[d, d + 1 :] = own[: max(len(own) - d - 1, 0)]
+        before[d, at == d] = BEGIN
+        ended |= (at < d) | (before[d] == NONE)
+        before[d, ended] = NONE
+    some = before[0] != NONE if depth else np.zeros(len(flat), bool)
+    return before[:, some], np.where(flat < 0, v.other, flat)[some], text[some]
+
+
+def _contexts(before: np.ndarray) -> list[np.ndarray]:
+    """By depth, the hash of every occurrence's context."""
+    found, s = [], np.zeros(before.shape[1], np.int64)
+    for words in before:
+        s = _mix(s, words)
+        found.append(s)
+    return found
+
+
+def _levels(hot: Hot, before: np.ndarray, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """How many of each occurrence's contexts are hot, from the shortest on, and the place of the longest of these (-1: none)."""
+    level, place = np.zeros(before.shape[1], np.int64), np.full(before.shape[1], -1, np.int64)
+    for d, s in enumerate(contexts):
+        at = _search(hot.s, s)
+        more = (level == d) & (at >= 0) & (before[d] != NONE)
+        level[more], place[more] = d + 1, at[more]
+    return level, place
+
+
+def _longer(sent, depth: int):
+    """A function for mapInArrow: counts of the contexts (s, its words) of depth whose suffixes are all hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        held, size = [], 0
+        v, hot = sent.value
+        for batch in sliced(batches):
+            before, _, _ = _occurrences(v, depth, batch)
+            contexts = _contexts(before)
+            level, _ = _levels(hot, before[: depth - 1], contexts[: depth - 1])
+            wanted = np.flatnonzero((level == depth - 1) & (before[-1] != NONE))
+            s, first, c = np.unique(contexts[-1][wanted], return_index=True, return_counts=True)
+            words = before[:, wanted[first]].T
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(list(words), pa.list_(pa.int64())), pa.array(c.astype(np.int64))], names=["s", "words", "c"])
+
+    return run
 
-        def hand_on() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return _batch({"s": keys >> 32, "w": (keys & 0xFFFFFFFF).astype(np.int32), "c": counts.astype(np.int64)})
 
+def _continuations(sent, depth: int):
+    """A function for mapInArrow: counts of (hot context, symbol)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, hot = sent.value
         for batch in sliced(batches):
-            words, endings, starts = _flat(batch)
-            *_, (context, _) = m.paths(words, endings, starts)
-            ok = context >= 0
-            if m.levels:
-                ok &= np.append(m.levels[-1].count, 0)[context] >= m.contexts
-            held.append((context[ok] << 32) | np.where(words < 0, RARE, words)[ok])
-            size += len(held[-1])
-            if size > 4 * HELD:
-                yield hand_on()
-                held, size = [], 0
-        if size:
-            yield hand_on()
+            before, symbols, _ = _occurrences(v, depth, batch)
+            contexts = _contexts(before)
+            level, _ = _levels(hot, before, contexts)
+            for d, s in enumerate(contexts):
+                keys, c = np.unique((_search(hot.s, s[level > d]) << 32) | symbols[level > d], return_counts=True)
+                yield _batch({"s": hot.s[keys >> 32], "w": keys & 0xFFFFFFFF, "c": c.astype(np.int64)})
 
     return run
 
 
-def _words(docs: DataFrame, id_col: str, text_col: str) -> tuple[Model, DataFrame]:
-    """The model with its root alone, and the counts (h, c) of all words by hash."""
-    texts = docs.filter(~held_out(docs, id_col)).select(text_col)
-    counts = cut(texts.mapInArrow(count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = counts.filter(F.col("c") >= max(LISTED, SHARE * total)).toArrow()
-    return Model(frequent["h"].to_numpy(), frequent["c"].to_numpy(), total, kinds), counts
+def _pack(columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers as bytes: all first bytes, all second ones and so on, compressed."""
+    planes = np.ascontiguousarray(columns).view(np.uint8).reshape(*columns.shape, 8).transpose(0, 2, 1)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _grow(model: Model, texts: DataFrame, depth: int) -> None:
-    """Adds states of up to depth words, as long as any context is frequent enough. texts: numbered training texts."""
-    context = texts.sparkSession.sparkContext
-    while len(model.levels) < depth and (not model.levels or (model.levels[-1].count >= model.contexts).any()):
-        sent = context.broadcast(model)
-        found = texts.mapInArrow(_continuations(sent), "s long, w int, c long").groupBy("s", "w").agg(F.sum("c").alias("c"))
-        known = F.col("w") != RARE
-        listed = F.collect_list(F.when(known & (F.col("c") >= model.least), F.struct("w", "c")))
-        lists = found.groupBy("s").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(known, F.col("c"))), F.lit(0)).alias("frequent"), listed.alias("listed"))
-        rows = lists.filter((F.size("listed") > 0) & (F.col("n") >= model.contexts)).select("s", "n", "frequent", F.size("listed").alias("size"), "listed.w", "listed.c")
-        table = rows.toArrow()
-        s, n, frequent, size = (table[k].to_numpy() for k in range(4))
-        w, c = (table[k].combine_chunks().flatten().to_numpy() for k in (4, 5))
-        model.grow(s, n.astype(float), frequent.astype(float), size.astype(np.int64), w.astype(np.int64), c.astype(float))
-        sent.unpersist()
+def _unpack(packed: bytes, n: int, columns: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 8 * n * columns, codec="zstd"), np.uint8).reshape(columns, 8, n)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(columns, n)
+
+
+#: Occurrences of a bucket: packed columns of the words before, the symbol, the text's row (-1: summed up beforehand), the count, and the hot suffixes.
+DEALT, EXTRA = "bucket int, n int, packed binary", 4
 
 
-NUMBERED = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("endings", T.ArrayType(T.IntegerType())), T.StructField("rare", T.ArrayType(T.LongType()))]
+def _dealt(buckets: np.ndarray, columns: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(buckets, kind="stable")
+    found, starts = np.unique(buckets[order], return_index=True)
+    parts = np.split(columns[:, order], starts[1:], axis=1) if len(found) else []
+    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array([p.shape[1] for p in parts], pa.int32()), pa.array([_pack(p) for p in parts], pa.binary())], names=["bucket", "n", "packed"])
 
 
-def _scorer(model):
-    """A function for mapInArrow: the log10 probability of each numbered text's frequent words, and the factors of its rare ones."""
+def _deal(sent, depth: int):
+    """A function for mapInArrow: numbered texts (row, held_out, words, others) as DEALT occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
+        v, hot = sent.value
+        held, size = [], 0
         for batch in sliced(batches):
-            words, endings, starts = _flat(batch)
-            root = np.append(m.root, 0.0)[words]
-            sums = np.add.reduceat(m.score(words, endings, starts, root), starts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(sums)], names=[*batch.schema.names[:-2], "score"])
+            before, symbols, text = _occurrences(v, depth, batch)
+            row = batch.column("row").to_numpy()[text]
+            learned = (~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool))[text].astype(np.int64)
+            contexts = _contexts(before)
+            level, place = _levels(hot, before, contexts)
+            bucket = contexts[0] % hot.buckets if depth else row
+            for d in range(1, depth + 1):
+                at = np.flatnonzero(level == d)
+                spread = _mix(row[at], np.arange(len(at)))
+                if d < depth:
+                    spread = np.where(before[d, at] == NONE, spread, contexts[d][at])
+                bucket[at] = (contexts[d - 1][at] % hot.buckets + spread % np.minimum(hot.parts[place[at]], hot.buckets)) % hot.buckets
+            held.append((bucket, np.concatenate([before, [symbols, row, learned, level]])))
+            size += len(bucket)
+            if size > HELD:
+                yield _dealt(np.concatenate([b for b, _ in held]), np.concatenate([c for _, c in held], axis=1))
+                held, size = [], 0
+        if size:
+            yield _dealt(np.concatenate([b for b, _ in held]), np.concatenate([c for _, c in held], axis=1))
 
     return run
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, depth: int = DEPTH) -> tuple[Model, DataFrame, DataFrame]:
-    """The model, the counts (h, c) of all words by hash, and all rows as numbers (id, held_out, row, NUMBERED)."""
-    model, counts = _words(docs, id_col, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("id"), held_out(docs, id_col).alias("held_out"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("id", field(docs, id_col).dataType), T.StructField("held_out", T.BooleanType()), *NUMBERED])
-    numbered = cut(rows.mapInArrow(_numbered(sent), schema).withColumn("row", F.monotonically_increasing_id()))
-    _grow(model, numbered.filter(~F.col("held_out")).select("words", "endings"), depth)
-    return model, counts, numbered
+def _spread(sent, depth: int):
+    """A function for mapInArrow: counts (s, w, c) of hot contexts as DEALT columns, for all buckets that need them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, hot = sent.value
+        targets: dict[int, list[int]] = {}
+        for batch in batches:
+            s, w, c = (batch.column(k).to_numpy() for k in range(3))
+            for one in np.unique(s).tolist():
+                words = hot.known[one][0]
+                if one not in targets:
+                    targets[one] = sorted(hot.targets(words))
+                own = s == one
+                columns = np.full((depth + EXTRA, int(own.sum())), NONE, np.int64)
+                columns[: len(words)] = np.array(words)[:, None]
+                columns[depth], columns[depth + 1], columns[depth + 2], columns[depth + 3] = w[own], -1, c[own], len(words) - 1
+                packed = _pack(columns)
+                to = targets[one]
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([columns.shape[1]] * len(to), pa.int32()), pa.array([packed] * len(to), pa.binary())], names=["bucket", "n", "packed"])
+
+    return run
+
+
+def _diverges(bits: np.ndarray, n: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Whether the divergence is large, and more than that of n draws from the suffix's own distribution."""
+    freedom = listed + 1
+    return (bits >= LEAST_BITS) & (2 * math.log(2) * n * bits > freedom + 4 * np.sqrt(2 * freedom))
+
+
+def probabilities(before: np.ndarray, symbols: np.ndarray, counts: np.ndarray, first: np.ndarray, last: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Each occurrence's probability in its longest retained context.
+
+    An occurrence adds its count to its contexts longer than first and no longer than last.
+    """
+    low = root[symbols]
+    live = np.arange(len(symbols))
+    for d, contexts in enumerate(_contexts(before)):
+        live = live[before[d, live] != NONE]
+        if not len(live):
+            break
+        weight = np.where((first[live] <= d) & (last[live] > d), counts[live], 0)
+        s, owner = np.unique(contexts[live], return_inverse=True)
+        n = np.bincount(owner, weight, len(s))
+        some = n[owner] >= CONTEXT
+        live, weight, owner = live[some], weight[some], owner[some]
+        pairs, at, pair = np.unique((owner << 32) | symbols[live], return_index=True, return_inverse=True)
+        of, under, c = pairs >> 32, low[live][at], np.bincount(pair, weight, len(pairs))
+        seen = c > 0
+        listed, mass = np.bincount(of, seen, len(s)), np.bincount(of, np.where(seen, under, 0.0), len(s))
+        unseen = (DISCOUNT * listed + SMOOTH) / (n + SMOOTH)
+        own = np.maximum(c - DISCOUNT, 0) / (n[of] + SMOOTH) + unseen[of] * under
+        bits = np.bincount(of, np.where(seen, own * np.log2(own / under), 0.0), len(s)) + np.maximum(1 - mass, 0) * unseen * np.log2(unseen)
+        kept = _diverges(bits, n, listed)[owner]
+        low[live[kept]] = own[pair[kept]]
+    return low
+
+
+def _scorer(sent, depth: int):
+    """A function for applyInArrow: by row, what a bucket's states add to the root's log10 probabilities."""
+
+    def run(group: pa.Table) -> pa.Table:
+        root = sent.value[0].root
+        parts = [_unpack(packed.as_py(), n.as_py(), depth + EXTRA) for n, packed in zip(group["n"], group["packed"], strict=True)]
+        columns = np.concatenate(parts, axis=1)
+        del parts
+        before, (symbols, row, counts, first) = columns[:depth], columns[depth:]
+        last = np.where(row < 0, first + 1, depth)
+        gain = np.log10(probabilities(before, symbols, counts, first, last, root) / root[symbols])
+        some = np.flatnonzero((row >= 0) & (gain != 0))
+        rows, at = np.unique(row[some], return_inverse=True)
+        return pa.table({"row": rows, "gain": np.bincount(at, gain[some], len(rows)).astype(float)})
+
+    return run
+
+
+def _find_hot(v: Words, texts: DataFrame, depth: int) -> Hot:
+    """The hot contexts. texts: numbered training texts."""
+    hot = Hot(v.total)
+    context = texts.sparkSession.sparkContext
+    end = v.numbers(hashes([END]))[0]
+    one = [(n, c) for n, c in enumerate(v.c.tolist()) if c >= hot.least and v.enough[n] and n != end]
+    if end >= 0 and v.c[end] >= hot.least:
+        one.append((BEGIN, int(v.c[end])))  # as many texts begin as end
+    ids = np.array([n for n, _ in one], np.int64)
+    new = {s: ((n,), c) for s, (n, c) in zip(_mix(np.zeros(len(ids), np.int64), ids).tolist(), one, strict=True)} if depth else {}
+    for d in range(2, depth + 2):
+        hot.known |= new
+        hot.sort()
+        if not new or d > depth:
+            break
+        sent = context.broadcast((v, hot))
+        found = texts.mapInArrow(_longer(sent, d), "s long, words array<long>, c long").groupBy("s", "words").agg(F.sum("c").alias("c"))
+        new = {r.s: (tuple(r.words), r.c) for r in found.filter(F.col("c") >= hot.least).collect()}
+        sent.unpersist()
+    return hot
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -327,22 +419,31 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     and scored each. With nothing to learn from, every symbol is unknown. Other
     columns are ignored. An empty table gives an empty table.
     """
-    model, counts, numbered = fit(docs, id_col, text_col, depth)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    plain = ("row", "id", "held_out", "n_tokens", "n_known", "base")
-    known = T.StructType([*(numbered.schema[c] for c in plain), T.StructField("score", T.DoubleType())])
-    scored = numbered.select(*plain, "words", "endings").mapInArrow(_scorer(sent), known)
-    unsure = numbered.select("row", F.explode("rare").alias("h"))
+    context = docs.sparkSession.sparkContext
+    v, counts = _words(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("id"), held_out(docs, id_col).alias("held_out"), F.col(text_col).alias("text"))
+    schema = T.StructType([T.StructField("id", field(docs, id_col).dataType), T.StructField("held_out", T.BooleanType()), *NUMBERED])
+    numbered = cut(rows.mapInArrow(_numbered(context.broadcast(v)), schema).withColumn("row", F.monotonically_increasing_id()))
+    texts = numbered.filter(~F.col("held_out")).select("words", "others")
+    hot = _find_hot(v, texts, depth)
+    sent = context.broadcast((v, hot))
+    dealt = numbered.select("row", "held_out", "words", "others").mapInArrow(_deal(sent, depth), DEALT)
+    if hot.known:
+        summed = texts.mapInArrow(_continuations(sent, depth), "s long, w long, c long").groupBy("s", "w").agg(F.sum("c").alias("c"))
+        dealt = dealt.union(summed.mapInArrow(_spread(sent, depth), DEALT))
+    gains = dealt.repartition(hot.buckets, "bucket").groupBy("bucket").applyInArrow(_scorer(sent, depth), "row long, gain double")
     c = F.coalesce("c", F.lit(0))
-    found = unsure.join(counts, "h", "left").groupBy("row").agg(F.sum(F.log10((c + 0.5) / F.lit(model.size))).alias("more"), F.sum((c > 0).cast("long")).alias("known"))
-    both = scored.join(found, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
+    others = numbered.select("row", F.explode("others").alias("h")).join(counts, "h", "left")
+    more = others.groupBy("row").agg(F.sum(F.log10((c + 0.5) / F.lit(v.size))).alias("more"), F.sum((c > 0).cast("long")).alias("known"))
+    plain = numbered.select("row", "id", "held_out", "n_tokens", "n_known", "base")
+    both = plain.join(more, "row", "left").join(gains.groupBy("row").agg(F.sum("gain").alias("gain")), "row", "left")
+    base = F.col("base") + F.coalesce("more", F.lit(0.0))
     return both.select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        F.lit(v.total).cast("long").alias("train_tokens"),
+        base.alias("base_score"),
+        (base + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )

@@ -4,7 +4,6 @@ import re
 import zlib
 from collections import Counter
 
-import numpy as np
 import pytest
 
 from millrace.llm import suffix_tree as st
@@ -43,130 +42,108 @@ def test_rows(spark):
     assert (only.train_tokens, only.n_known, only.base_score, only.score) == (0, 0, 0.0, 0.0)
 
 
-def test_probabilities_sum_to_one(spark):
-    """In every context, over all known words and one unknown; all words frequent, and with most of them rare."""
-    rng = random.Random(4)
-    follow = {w: rng.sample("abcdefghij", 3) for w in "abcdefghij"}
-    def text():
-        out = ["a"]
-        while len(out) < 60:
-            if len(out) > 2 and rng.random() < 0.3:
-                out.append(out[-3])
-            out.append(rng.choice(follow.get(out[-1], "abc")) if rng.random() < 0.8 else rng.choice(["rare%d" % rng.randrange(300), *"abc"]))
-        return " ".join(out)
-    docs = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
-    for share in (1e-6, 0.004):
-        old, st.SHARE = st.SHARE, share
-        try:
-            model, counts, _ = st.fit(docs, "doc_id", "text")
-        finally:
-            st.SHARE = old
-        assert model.levels[0].kept.sum() >= 5 and (share > 1e-6 or model.levels[2].kept.any())
-        every = {r.h: r.c for r in counts.collect()}
-        known = np.array(list(every), np.int64)
-        root = np.log10((np.array([*every.values(), 0]) + 0.5) / model.size)
-        second, third = follow["a"][0], follow[follow["a"][0]][0]
-        for context in (["a"], ["b"], ["a", "b"], [second, "zzz"], [], ["a", second], ["c", follow["c"][1]], ["a", second, third], ["zzz", "a", second, third]):
-            before = [w.encode() for w in context]
-            words, endings = model.numbers(before, st.hashes(before))
-            numbers = np.append(model.numbers([b"?"] * len(known), known)[0], -1)
-            total = 0.0
-            for n, r in zip(numbers, root, strict=True):
-                ends = np.array(endings + ([] if model.enough[n] else [0]), np.int64)
-                total += 10 ** model.score(np.append(words, n), ends, np.array([0]), np.append(np.zeros(len(before)), r))[-1]
-            assert total == pytest.approx(1, abs=1e-6)
-
-
-def plain_scores(rows, depth):
-    """Scores by dictionaries of contexts, which are tuples of words; a rare first word is there by its ending."""
+def plain_model(rows, depth):
+    """The root's and all states' probabilities by dictionaries of contexts, which are tuples of words; None is what is not in the vocabulary."""
     train = [symbols(t) for i, t in rows if not is_held(i)]
     counts = Counter(s for t in train for s in t)
     total = sum(counts.values())
     size = total + 0.5 * (len(counts) + 1)
-    least, enough = max(st.LISTED, st.SHARE * total), max(st.CONTEXT, st.SHARE * total)
-    frequent = {w for w, c in counts.items() if c >= least}
-    root = lambda w: (counts[w] + 0.5) / size
-    mass = sum(root(w) for w in frequent)
-
-    def first(w):
-        return w if w in frequent and counts[w] >= enough else ("ending", w.encode()[-2:])
-
-    def contexts(before):
-        """Of one word, two and so on; with the beginning as far as it is near enough."""
-        out = [(first(before[-1]),)] if before else [(("begin",),)]
-        for n in range(2, depth + 1):
-            if n == len(before) + 1:
-                out.append((("begin",), *before))
-            elif n <= len(before):
-                out.append((first(before[-n]), *before[len(before) - n + 1 :]))
-            else:
-                break
-        return out
+    ranges = {}
+    for c in counts.values():
+        ranges.setdefault(math.floor(math.log2(c) * 8), []).append(c)
+    floor = st._floor([(min(r), len(r)) for r in ranges.values()])
+    vocabulary = {w for w, c in counts.items() if c >= floor}
+    root = {w: (counts[w] + 0.5) / size for w in vocabulary}
+    root[None] = 1 - sum(root.values())
+
+    def contexts(t, i):
+        """Before the symbol at i, of one word, two and so on; with the beginning as far as it is near enough."""
+        whole = (*(["<begin>"] if i < depth else []), *t[max(i - depth, 0) : i])
+        return [whole[-n:] for n in range(1, min(depth, len(whole)) + 1)]
 
     follow = {}
     for t in train:
         for i, w in enumerate(t):
-            for context in contexts(t[:i]):
-                follow.setdefault(context, Counter())[w if w in frequent else None] += 1
-    listed = {s: {w: c for w, c in f.items() if w is not None and c >= least} for s, f in follow.items()}
+            for context in contexts(t, i):
+                follow.setdefault(context, Counter())[w if w in vocabulary else None] += 1
+    occurs = {s: sum(f.values()) for s, f in follow.items()}
     states = {}
 
-    def exists(s):
-        """Whether the context without its last word is looked at and lists that often enough."""
-        f = follow.get(s)
-        if f is None or sum(f.values()) < enough or not listed[s]:
-            return False
-        return len(s) == 1 or (exists(s[:-1]) and listed[s[:-1]].get(s[-1], 0) >= enough)
+    def share(s):
+        return (st.DISCOUNT * len(follow[s]) + st.SMOOTH) / (occurs[s] + st.SMOOTH)
 
-    def suffix(s):
-        return (first(s[1]), *s[2:]) if len(s) > 1 else None
+    def smoothed(s, c, low):
+        return (c - st.DISCOUNT if c else 0) / (occurs[s] + st.SMOOTH) + share(s) * low
 
     def probability(s, w):
-        """Of a word in the longest retained suffix, and the mass of frequent words there."""
-        if s is None:
-            return root(w), mass
-        state = states.get(s)
-        low, held = probability(suffix(s), w)
-        if not state:
-            return low, held
-        own, p1, p2, share = state
-        return (own[w] if w in own else low * (p1 if w in frequent else p2)), share
-
-    for s in sorted((s for s in follow if exists(s)), key=len):
-        f, n = follow[s], sum(follow[s].values())
-        low = {w: probability(suffix(s), w)[0] for w in listed[s]}
-        held = probability(suffix(s), "")[1]
-        others, rest = max(held - sum(low.values()), 1e-12), max(1 - held, 1e-12)
-        own = {w: (c + st.SMOOTH * low[w]) / (n + st.SMOOTH) for w, c in listed[s].items()}
-        p1 = max(n - f[None] - sum(listed[s].values()) + st.SMOOTH * others, 1e-12) / (n + st.SMOOTH)
-        p2 = max(f[None] + st.SMOOTH * rest, 1e-12) / (n + st.SMOOTH)
-        bits = sum(p * math.log2(p / low[w]) for w, p in own.items()) + p1 * math.log2(p1 / others) + p2 * math.log2(p2 / rest)
+        """Of a symbol in the longest retained suffix."""
+        if not s:
+            return root[w]
+        low = probability(s[1:], w)
+        return smoothed(s, follow[s][w], low) if s in states else low
+
+    for s in sorted((s for s, n in occurs.items() if n >= st.CONTEXT), key=len):
+        f, n = follow[s], occurs[s]
+        low = {w: probability(s[1:], w) for w in f}
+        own = {w: smoothed(s, c, low[w]) for w, c in f.items()}
+        bits = sum(p * math.log2(p / low[w]) for w, p in own.items()) + (1 - sum(low.values())) * share(s) * math.log2(share(s))
         free = len(own) + 1
         if bits >= st.LEAST_BITS and 2 * math.log(2) * n * bits > free + 4 * math.sqrt(2 * free):
-            states[s] = own, p1 / others, p2 / rest, 1 - p2
+            states[s] = True
 
-    def text(t):
-        return sum(math.log10(probability(contexts(t[:i])[-1], w)[0]) for i, w in enumerate(t))
+    def word(t, i, w):
+        symbol = w if w in vocabulary else None
+        p = probability(contexts(t, i)[-1] if depth else (), symbol)
+        return p if symbol is not None else p / root[None] * (counts[w] + 0.5) / size
 
-    return [text(symbols(t)) for _, t in rows], Counter(len(s) for s in states)
+    return word, states, counts
 
 
-@pytest.mark.parametrize("share", [1e-6, 0.002])
-def test_against_dictionaries(spark, share, monkeypatch):
-    monkeypatch.setattr(st, "SHARE", share)
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+def invented():
     rng = random.Random(9)
-    rows += [(10_000 + i, " ".join(rng.choice(["the big red fox jumps far", "the big red hen sits down", "rare%d big red cat" % i, "x y"]) for _ in range(20))) for i in range(80)]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    for depth in (1, 2, 4):
+    texts = [" ".join(rng.choice(["the big red fox jumps far", "the big red hen sits down", "rare%d big red cat" % i, "x y", "one m n o first", "two m n o second"]) for _ in range(20)) for i in range(80)]
+    return [(10_000 + i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("bucket, vocabulary", [(1_000_000, 1 << 20), (150, 1 << 20), (40, 12)])
+def test_against_dictionaries(spark, bucket, vocabulary, monkeypatch):
+    """In one bucket; with hot contexts of every depth dealt on; and with a small vocabulary too."""
+    monkeypatch.setattr(st, "BUCKET", bucket)
+    monkeypatch.setattr(st, "VOCABULARY", vocabulary)
+    rows = invented()
+    if bucket > 1000:
+        rows += [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for depth in (1, 4) if bucket > 1000 else (0, 2, 4):
         found = {r.doc_id: r.score for r in st.score(table, depth=depth).collect()}
-        want, kept = plain_scores(rows, depth)
-        assert max(kept) == depth or share > 1e-6  # a thin tree has no deeper states
+        word, states, _ = plain_model(rows, depth)
+        assert depth < 4 or vocabulary < 100 or max(map(len, states)) == 4  # "one m n o first" needs four words
+        want = [sum(math.log10(word(t, i, w)) for i, w in enumerate(t)) for t in (symbols(t) for _, t in rows)]
         assert [found[i] for i, _ in rows] == pytest.approx(want, rel=1e-9, abs=1e-6)
 
 
+def test_hot_contexts_are_dealt_on(spark, monkeypatch):
+    """No bucket holds much more than its share, though two words follow each other in a third of all places."""
+    monkeypatch.setattr(st, "BUCKET", 200)
+    docs = spark.createDataFrame([*invented(), *((i, "a b " * 10 + f"u{i}") for i in range(150))], "doc_id long, text string")
+    v, _ = st._words(docs, "doc_id", "text")
+    numbered = docs.select(st.held_out(docs, "doc_id").alias("held_out"), "text").mapInArrow(st._numbered(spark.sparkContext.broadcast(v)), st.T.StructType([st.T.StructField("held_out", st.T.BooleanType()), *st.NUMBERED]))
+    numbered = numbered.withColumn("row", st.F.monotonically_increasing_id()).select("row", "held_out", "words", "others")
+    hot = st._find_hot(v, numbered.filter("not held_out").select("words", "others"), 4)
+    assert {len(words) for words, _ in hot.known.values()} == {1, 2, 3, 4}
+    dealt = numbered.mapInArrow(st._deal(spark.sparkContext.broadcast((v, hot)), 4), st.DEALT).groupBy("bucket").agg(st.F.sum("n").alias("n"))
+    sizes = [r.n for r in dealt.collect()]
+    assert max(sizes) < 5 * hot.piece  # each of the two words alone is followed by seven pieces
+
+
+def test_probabilities_sum_to_one():
+    """In every context, over all known words and one unknown."""
+    word, states, counts = plain_model(invented(), 4)
+    for s in [*states, ("fox", "x"), ("never",)]:
+        before = s[1:] if s[0] == "<begin>" else (*"wxyz", *s)
+        assert sum(word(before, len(before), w) for w in [*counts, "never"]) == pytest.approx(1, abs=1e-9)
+
+
 def test_query(spark):
     from millrace.llm.queries import QUERIES
 
@@ -176,5 +153,6 @@ def test_query(spark):
     compare(found, rows)
     held = [r for r in found if r.held_out]
     gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
+    print("held-out gain", gain)
     assert gain > 0.1
     assert sum(r.score > r.base_score for r in held if r.n_tokens > 50) > 0.9 * sum(r.n_tokens > 50 for r in held)
