@@ -85,6 +85,30 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch({"h": hashes(list(held)), "c": np.fromiter(held.values(), np.int64, len(held))})
 
 
+def _pack(columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers as bytes: all first bytes, all second ones and so on, compressed."""
+    planes = np.ascontiguousarray(columns).view(np.uint8).reshape(*columns.shape, 8).transpose(0, 2, 1)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, n: int, columns: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 8 * n * columns, codec="zstd"), np.uint8).reshape(columns, 8, n)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(columns, n)
+
+
+def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts (h, c) as one row for each batch."""
+    for batch in batches:
+        columns = np.stack([column.to_numpy() for column in batch.columns])
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int32()), pa.array([_pack(columns)], pa.binary())], names=["n", "packed"])
+
+
+def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for n, packed in zip(batch["n"].to_pylist(), batch["packed"].to_pylist(), strict=True):
+            yield _batch(dict(zip("hc", _unpack(packed, n, 2), strict=True)))
+
+
 def _search(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places of wanted values in a sorted array, -1 where absent."""
     if not len(sorted_):
@@ -134,14 +158,26 @@ def _floor(histogram: list[tuple[int, int]]) -> int:
 def _words(docs: DataFrame, id_col: str, text_col: str) -> tuple[Words, DataFrame]:
     """The vocabulary, and the counts (h, c) of all words by hash."""
     texts = docs.filter(~held_out(docs, id_col)).select(text_col)
-    counts = cut(texts.mapInArrow(count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+    counted = texts.mapInArrow(count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counts = cut(counted.mapInArrow(_shrink, "n int, packed binary")).mapInArrow(_restore, "h long, c long")
     ranges = counts.groupBy(F.floor(F.log2("c") * 8).alias("range")).agg(F.min("c").alias("least"), F.count("*").alias("kinds"), F.sum("c").alias("c")).collect()
     total, kinds = sum(r.c for r in ranges), sum(r.kinds for r in ranges)
     found = counts.filter(F.col("c") >= _floor([(r.least, r.kinds) for r in ranges])).toArrow()
     return Words(found["h"].to_numpy(), found["c"].to_numpy(), total, kinds), counts
 
 
-NUMBERED = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("others", T.ArrayType(T.LongType()))]
+NUMBERED = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("words", T.BinaryType()), T.StructField("others", T.ArrayType(T.LongType()))]
+
+
+def _small(words: np.ndarray) -> bytes:
+    """Numbers of the vocabulary in three bytes each."""
+    return words.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _large(small: bytes) -> np.ndarray:
+    low, middle, high = np.frombuffer(small, np.uint8).reshape(-1, 3).T.astype(np.int64)
+    words = low | middle << 8 | high << 16
+    return np.where(words == 0xFFFFFF, -1, words)
 
 
 def _numbered(sent):
@@ -156,9 +192,9 @@ def _numbered(sent):
                 found = hashes(tokens(text))
                 words = v.numbers(found)
                 known = words[words >= 0]
-                for out, value in zip(rows, (len(found), len(known), float(log[known].sum()), words.astype(np.int32), found[words < 0]), strict=True):
+                for out, value in zip(rows, (len(found), len(known), float(log[known].sum()), _small(words), found[words < 0]), strict=True):
                     out.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, k) for x, k in zip(rows, kinds, strict=True))], names=[*batch.schema.names[:-1], *(f.name for f in NUMBERED)])
 
     return run
@@ -189,9 +225,9 @@ class Hot:
 
 def _occurrences(v: Words, depth: int, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every symbol of a batch's texts (words, others) that has a context: those words, the last first; its number; its text's place in the batch."""
-    lists = batch.column("words")
-    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    texts = batch.column("words").to_pylist()
+    lengths = np.array([len(x) // 3 for x in texts], np.int64)
+    flat = _large(b"".join(texts))
     text = np.repeat(np.arange(len(lengths)), lengths)
     at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     own, enough = flat.copy(), v.enough[flat]
@@ -261,17 +297,6 @@ def _continuations(sent, depth: int):
     return run
 
 
-def _pack(columns: np.ndarray) -> bytes:
-    """Columns of 64-bit numbers as bytes: all first bytes, all second ones and so on, compressed."""
-    planes = np.ascontiguousarray(columns).view(np.uint8).reshape(*columns.shape, 8).transpose(0, 2, 1)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(packed: bytes, n: int, columns: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(packed, 8 * n * columns, codec="zstd"), np.uint8).reshape(columns, 8, n)
-    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(columns, n)
-
-
 #: Occurrences of a bucket: packed columns of the words before, the symbol, the text's row (-1: summed up beforehand), the count, and the hot suffixes.
 DEALT, EXTRA = "bucket int, n int, packed binary", 4
 
@@ -433,7 +458,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         dealt = dealt.union(summed.mapInArrow(_spread(sent, depth), DEALT))
     gains = dealt.repartition(hot.buckets, "bucket").groupBy("bucket").applyInArrow(_scorer(sent, depth), "row long, gain double")
     c = F.coalesce("c", F.lit(0))
-    others = numbered.select("row", F.explode("others").alias("h")).join(counts, "h", "left")
+    rare = counts.filter(F.col("c") < int(v.c[-1])) if v.other else counts
+    others = numbered.select("row", F.explode("others").alias("h")).join(rare, "h", "left")
     more = others.groupBy("row").agg(F.sum(F.log10((c + 0.5) / F.lit(v.size))).alias("more"), F.sum((c > 0).cast("long")).alias("known"))
     plain = numbered.select("row", "id", "held_out", "n_tokens", "n_known", "base")
     both = plain.join(more, "row", "left").join(gains.groupBy("row").agg(F.sum("gain").alias("gain")), "row", "left")
