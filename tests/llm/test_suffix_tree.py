@@ -153,6 +153,5 @@ def test_query(spark):
     compare(found, rows)
     held = [r for r in found if r.held_out]
     gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
-    print("held-out gain", gain)
     assert gain > 0.1
     assert sum(r.score > r.base_score for r in held if r.n_tokens > 50) > 0.9 * sum(r.n_tokens > 50 for r in held)
