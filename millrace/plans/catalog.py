@@ -152,7 +152,11 @@ def approximate(spark, sf_dir):
 sql("ranking", "SELECT c_custkey, CAST(row_number() OVER w AS BIGINT) AS place, CAST(rank() OVER w AS BIGINT) AS ranked, CAST(dense_rank() OVER w AS BIGINT) AS dense, CAST(ntile(4) OVER w AS BIGINT) AS quarter, round(percent_rank() OVER w, 6) AS share, round(cume_dist() OVER w, 6) AS below FROM {customer} WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)")
 sql("offsets", "SELECT event_id, lag(event_id) OVER w AS before, lead(event_id, 2, -1) OVER w AS after, first_value(event_type) OVER w AS started, nth_value(event_id, 2) OVER w AS second FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 sql("running_total", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 2) AS recent, count(*) OVER (PARTITION BY o_custkey) AS orders FROM {orders}")
-sql("range_frame", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS last_day FROM {events}")
+
+
+@frame("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS last_day FROM events")
+def range_frame(spark, sf_dir):
+    return windows.trailing_count(table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "ts", 1, ["event_type"], "last_day").select("event_id", "last_day")
 
 
 @frame("SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank_in_group FROM orders QUALIFY rank_in_group <= 2")

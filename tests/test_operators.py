@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import joins
+from millrace.operators import joins, windows
+from millrace.plans import catalog
 from millrace.sources import formats
 from millrace.streaming import events as streams
 
@@ -31,6 +32,33 @@ def test_salted_join_is_the_join(spark):
     assert sorted(joins.salted_join(large, small, "k", 7).collect()) == sorted(large.join(small, "k").collect())
 
 
+def test_trailing_count_is_the_range_frame(spark):
+    """With null keys and times, equal times, rows exactly a range apart, times before 1970 and whole slots without rows."""
+    rng = random.Random(3)
+    start = dt.datetime(1969, 12, 30)
+    moment = lambda: rng.choice([None, start + dt.timedelta(hours=6 * rng.randrange(60)), start + dt.timedelta(days=90, seconds=rng.randrange(400000), microseconds=rng.randrange(2))])
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([1, 1, None]), moment()) for i in range(600)]
+    table = spark.createDataFrame(rows, "_time int, k string, j int, at timestamp_ntz")
+    for days in (1, 3):
+        found = windows.trailing_count(table, "at", days, ["k", "j"], "n")
+        table.createOrReplaceTempView("trailing")
+        want = spark.sql(f"SELECT *, count(*) OVER (PARTITION BY k, j ORDER BY at RANGE BETWEEN INTERVAL {days} DAY PRECEDING AND CURRENT ROW) AS n FROM trailing")
+        assert found.columns == want.columns
+        assert sorted(found.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_trailing_count_of_many_rows(spark):
+    """40,000 rows of one key, all in the range of the last: each frame summed up by itself would take 800 million steps."""
+    table = spark.range(40_000).select("id", F.lit(1).alias("k"), F.expr("timestamp_ntz '2024-01-01 12:00:00' + make_dt_interval(0, 0, 0, id)").alias("at"))
+    counted = windows.trailing_count(table, "at", 1, ["k"], "n")
+    assert counted.filter("n != id + 1").count() == 0
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding$(), currentrow$()" in plan
+    assert "range_frame" in catalog.QUERIES
+    found = catalog.QUERIES["range_frame"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding$(), currentrow$()" in found and "INTERVAL '1' DAY, currentrow" not in found
+
+
 @pytest.mark.parametrize("kind", formats.FORMATS)
 def test_formats_round_trip(spark, tmp_path, kind):
     nations = spark.read.parquet(f"{SMALL}/nation.parquet")
