@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,6 +59,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files, and what else the driver no longer holds, now: else they stay until its memory runs short.
+
+    The last job's are held until Python's objects have been let go of, which a
+    thread does, and until another job has run.
+    """
+    gc.collect()
+    time.sleep(0.5)
+    spark.range(1).count()
+    spark._jvm.System.gc()
+
+
 def computed(df: DataFrame, **columns) -> DataFrame:
     """df with the columns added, each computed once for each row.
 

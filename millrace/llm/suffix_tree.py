@@ -22,6 +22,10 @@ dealt by the word before it, and so on; its own counts, summed up beforehand, go
 all buckets of its occurrences. No task holds more than some buckets' worth, and
 only the vocabulary and the contexts dealt on, of which there are at most 2 ** 21 at
 each depth, are sent to all tasks.
+
+Dealt occurrences take more disk than the texts. So they are dealt in ROUNDS: by
+the last word, each context and all its occurrences are in one of these, and of a
+round only each text's sum is kept.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import cut, field, sliced
+from millrace.llm.common import cut, field, release, sliced
 
 #: Symbols that a state tells apart at most, and their least count.
 VOCABULARY, FREQUENT = 1 << 20, 2
@@ -49,11 +53,13 @@ DISCOUNT, SMOOTH = 0.75, 5.0
 DEPTH = 4
 #: Occurrences in a bucket; there are at most 2 ** 20 buckets, which grow beyond that.
 BUCKET, BUCKETS = 1_000_000, 1 << 20
+#: Rounds in which occurrences are dealt, if there are as many buckets.
+ROUNDS = 3
 #: Distinct words, or occurrences, that a task gathers before it hands them on.
 HELD = 500_000
 END = b""
 #: In place of a context's word: the beginning of the text, and nothing (no context is that long, or it is too rare).
-BEGIN, NONE = 1 << 40, 1 << 41
+BEGIN, NONE = (1 << 24) - 3, (1 << 24) - 2
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -86,14 +92,22 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(columns: np.ndarray) -> bytes:
-    """Columns of 64-bit numbers as bytes: all first bytes, all second ones and so on, compressed."""
-    planes = np.ascontiguousarray(columns).view(np.uint8).reshape(*columns.shape, 8).transpose(0, 2, 1)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    """Columns of 64-bit numbers as bytes: each column's least number, how many bytes its others differ in, and these: all first bytes, all second ones and so on, compressed."""
+    least = columns.min(axis=1, initial=(1 << 63) - 1)
+    above = columns.view(np.uint64) - least.view(np.uint64)[:, None]
+    widths = [(int(most).bit_length() + 7) // 8 for most in above.max(axis=1, initial=0)]
+    planes = [(column >> np.uint64(8 * k)).astype(np.uint8).tobytes() for column, width in zip(above, widths, strict=True) for k in range(width)]
+    return least.tobytes() + bytes(widths) + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
 
 
 def _unpack(packed: bytes, n: int, columns: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(packed, 8 * n * columns, codec="zstd"), np.uint8).reshape(columns, 8, n)
-    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(columns, n)
+    least, widths = np.frombuffer(packed, np.uint64, columns), packed[8 * columns : 9 * columns]
+    planes = np.frombuffer(pa.decompress(packed[9 * columns :], n * sum(widths), codec="zstd"), np.uint8)
+    above, at = np.zeros((columns, n, 8), np.uint8), 0
+    for k, width in enumerate(widths):
+        above[k, :, :width] = planes[at : at + n * width].reshape(width, n).T
+        at += n * width
+    return (above.view(np.uint64).reshape(columns, n) + least[:, None]).view(np.int64)
 
 
 def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +217,11 @@ def _numbered(sent):
 class Hot:
     """The contexts that are dealt on by the word before them, each with its words (the last first) and its count."""
 
-    def __init__(self, total: int):
+    def __init__(self, total: int, rounds: int = 1):
         self.piece = max(BUCKET, total // BUCKETS)
-        self.buckets = max(1, -(-total // self.piece))
+        self.rounds = max(1, min(rounds, -(-total // self.piece)))
+        #: Of a round.
+        self.buckets = max(1, -(-total // (self.piece * self.rounds)))
         self.least = max(1, self.piece // 2)
         self.known: dict[int, tuple[tuple[int, ...], int]] = {}
         self.sort()
@@ -223,26 +239,30 @@ class Hot:
         return found
 
 
-def _occurrences(v: Words, depth: int, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every symbol of a batch's texts (words, others) that has a context: those words, the last first; its number; its text's place in the batch."""
+def _occurrences(v: Words, depth: int, batch: pa.RecordBatch, turn: int = 0, rounds: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every symbol of a batch's texts (words, others) that has a context in this turn of the rounds: those words, the last first; its number; its text's place in the batch."""
     texts = batch.column("words").to_pylist()
     lengths = np.array([len(x) // 3 for x in texts], np.int64)
+    starts = np.cumsum(lengths) - lengths
     flat = _large(b"".join(texts))
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    own, enough = flat.copy(), v.enough[flat]
-    own[flat < 0] = batch.column("others").flatten().to_numpy(zero_copy_only=False) | np.int64(-(1 << 63))
-    own = np.where(enough, own, NONE)
-    before = np.empty((depth, len(flat)), np.int64)
-    ended = np.zeros(len(flat), bool)
+    own = np.where(v.enough[flat], flat, NONE)
+    if v.enough[-1]:
+        own[flat < 0] = batch.column("others").flatten().to_numpy(zero_copy_only=False) | np.int64(-(1 << 63))
+    last = np.empty(len(flat) if depth else 0, np.int64)
+    last[1:] = own[: max(len(last) - 1, 0)]
+    last[starts[: len(last)]] = BEGIN  # every text has its end at least
+    places = np.flatnonzero((last != NONE) & (last % rounds == turn))
+    text = np.searchsorted(starts, places, "right") - 1
+    at = places - starts[text]
+    before = np.empty((depth, len(places)), np.int64)
+    ended = np.zeros(len(places), bool)
     for d in range(depth):
-        before[d, : d + 1] = NONE
-        before[d, d + 1 :] = own[: max(len(own) - d - 1, 0)]
+        before[d] = own[np.maximum(places - d - 1, 0)] if d else last[places]
         before[d, at == d] = BEGIN
         ended |= (at < d) | (before[d] == NONE)
         before[d, ended] = NONE
-    some = before[0] != NONE if depth else np.zeros(len(flat), bool)
-    return before[:, some], np.where(flat < 0, v.other, flat)[some], text[some]
+    symbols = flat[places]
+    return before, np.where(symbols < 0, v.other, symbols), text
 
 
 def _contexts(before: np.ndarray) -> list[np.ndarray]:
@@ -265,34 +285,53 @@ def _levels(hot: Hot, before: np.ndarray, contexts: list[np.ndarray]) -> tuple[n
 
 
 def _longer(sent, depth: int):
-    """A function for mapInArrow: counts of the contexts (s, its words) of depth whose suffixes are all hot."""
+    """A function for mapInArrow: counts of the contexts (s, its words) of depth whose suffixes are all hot.
+
+    Those too rare to be hot are dropped on the way (lossy counting), so what is
+    left doesn't grow with the texts. All tasks' counts of a context lack a tenth
+    of Hot.least at most; they only decide where occurrences are dealt.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, hot = sent.value
+        share, seen = hot.least / (10 * max(v.total, 1)), 0
+        s, c, missed, words = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty((depth, 0), np.int64)
         for batch in sliced(batches):
             before, _, _ = _occurrences(v, depth, batch)
             contexts = _contexts(before)
             level, _ = _levels(hot, before[: depth - 1], contexts[: depth - 1])
             wanted = np.flatnonzero((level == depth - 1) & (before[-1] != NONE))
-            s, first, c = np.unique(contexts[-1][wanted], return_index=True, return_counts=True)
-            words = before[:, wanted[first]].T
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(list(words), pa.list_(pa.int64())), pa.array(c.astype(np.int64))], names=["s", "words", "c"])
+            s, first, owner = np.unique(np.concatenate([s, contexts[-1][wanted]]), return_index=True, return_inverse=True)
+            c = np.bincount(owner, np.concatenate([c, np.ones(len(wanted))]), len(s)).astype(np.int64)
+            missed = np.concatenate([missed, np.full(len(wanted), share * seen)])[first]  # at most so many before
+            words = np.concatenate([words, before[:, wanted]], axis=1)[:, first]
+            seen += before.shape[1]
+            some = c + missed > share * seen
+            s, c, missed, words = s[some], c[some], missed[some], words[:, some]
+        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(list(words.T), pa.list_(pa.int64())), pa.array(c)], names=["s", "words", "c"])
 
     return run
 
 
-def _continuations(sent, depth: int):
-    """A function for mapInArrow: counts of (hot context, symbol)."""
+def _continuations(sent, depth: int, turn: int):
+    """A function for mapInArrow: counts of (hot context, symbol) of a round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, hot = sent.value
+        keys, c = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in sliced(batches):
-            before, symbols, _ = _occurrences(v, depth, batch)
+            before, symbols, _ = _occurrences(v, depth, batch, turn, hot.rounds)
             contexts = _contexts(before)
             level, _ = _levels(hot, before, contexts)
-            for d, s in enumerate(contexts):
-                keys, c = np.unique((_search(hot.s, s[level > d]) << 32) | symbols[level > d], return_counts=True)
-                yield _batch({"s": hot.s[keys >> 32], "w": keys & 0xFFFFFFFF, "c": c.astype(np.int64)})
+            found = [(_search(hot.s, s[level > d]) << 32) | symbols[level > d] for d, s in enumerate(contexts)]
+            counts = np.concatenate([c, np.ones(sum(map(len, found)), np.int64)])
+            keys, owner = np.unique(np.concatenate([keys, *found]), return_inverse=True)
+            c = np.bincount(owner, counts, len(keys)).astype(np.int64)
+            if len(keys) > HELD:
+                yield _batch({"s": hot.s[keys >> 32], "w": keys & 0xFFFFFFFF, "c": c})
+                keys, c = keys[:0], c[:0]
+        if len(keys):
+            yield _batch({"s": hot.s[keys >> 32], "w": keys & 0xFFFFFFFF, "c": c})
 
     return run
 
@@ -308,14 +347,14 @@ def _dealt(buckets: np.ndarray, columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array([p.shape[1] for p in parts], pa.int32()), pa.array([_pack(p) for p in parts], pa.binary())], names=["bucket", "n", "packed"])
 
 
-def _deal(sent, depth: int):
-    """A function for mapInArrow: numbered texts (row, held_out, words, others) as DEALT occurrences."""
+def _deal(sent, depth: int, turn: int = 0):
+    """A function for mapInArrow: numbered texts (row, held_out, words, others) as DEALT occurrences of a round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, hot = sent.value
         held, size = [], 0
         for batch in sliced(batches):
-            before, symbols, text = _occurrences(v, depth, batch)
+            before, symbols, text = _occurrences(v, depth, batch, turn, hot.rounds)
             row = batch.column("row").to_numpy()[text]
             learned = (~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool))[text].astype(np.int64)
             contexts = _contexts(before)
@@ -413,9 +452,9 @@ def _scorer(sent, depth: int):
     return run
 
 
-def _find_hot(v: Words, texts: DataFrame, depth: int) -> Hot:
+def _find_hot(v: Words, texts: DataFrame, depth: int, rounds: int = 1) -> Hot:
     """The hot contexts. texts: numbered training texts."""
-    hot = Hot(v.total)
+    hot = Hot(v.total, rounds)
     context = texts.sparkSession.sparkContext
     end = v.numbers(hashes([END]))[0]
     one = [(n, c) for n, c in enumerate(v.c.tolist()) if c >= hot.least and v.enough[n] and n != end]
@@ -435,6 +474,17 @@ def _find_hot(v: Words, texts: DataFrame, depth: int) -> Hot:
     return hot
 
 
+def _gains(numbered: DataFrame, texts: DataFrame, sent, depth: int, turn: int) -> DataFrame:
+    """By row, what a round's states add to the root's log10 probabilities; computed, so that the dealt occurrences can go."""
+    _, hot = sent.value
+    dealt = numbered.select("row", "held_out", "words", "others").mapInArrow(_deal(sent, depth, turn), DEALT)
+    if hot.known:
+        summed = texts.mapInArrow(_continuations(sent, depth, turn), "s long, w long, c long").groupBy("s", "w").agg(F.sum("c").alias("c"))
+        dealt = dealt.union(summed.mapInArrow(_spread(sent, depth), DEALT))
+    gains = dealt.repartition(hot.buckets, "bucket").groupBy("bucket").applyInArrow(_scorer(sent, depth), "row long, gain double")
+    return cut(gains.groupBy("row").agg(F.sum("gain").alias("gain")))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
@@ -450,13 +500,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     schema = T.StructType([T.StructField("id", field(docs, id_col).dataType), T.StructField("held_out", T.BooleanType()), *NUMBERED])
     numbered = cut(rows.mapInArrow(_numbered(context.broadcast(v)), schema).withColumn("row", F.monotonically_increasing_id()))
     texts = numbered.filter(~F.col("held_out")).select("words", "others")
-    hot = _find_hot(v, texts, depth)
+    hot = _find_hot(v, texts, depth, ROUNDS if depth else 1)
     sent = context.broadcast((v, hot))
-    dealt = numbered.select("row", "held_out", "words", "others").mapInArrow(_deal(sent, depth), DEALT)
-    if hot.known:
-        summed = texts.mapInArrow(_continuations(sent, depth), "s long, w long, c long").groupBy("s", "w").agg(F.sum("c").alias("c"))
-        dealt = dealt.union(summed.mapInArrow(_spread(sent, depth), DEALT))
-    gains = dealt.repartition(hot.buckets, "bucket").groupBy("bucket").applyInArrow(_scorer(sent, depth), "row long, gain double")
+    gains = None
+    for turn in range(hot.rounds):
+        release(docs.sparkSession)
+        found = _gains(numbered, texts, sent, depth, turn)
+        gains = gains.union(found) if gains else found
+    release(docs.sparkSession)
     c = F.coalesce("c", F.lit(0))
     rare = counts.filter(F.col("c") < int(v.c[-1])) if v.other else counts
     others = numbered.select("row", F.explode("others").alias("h")).join(rare, "h", "left")

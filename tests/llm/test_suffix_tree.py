@@ -136,6 +136,42 @@ def test_hot_contexts_are_dealt_on(spark, monkeypatch):
     assert max(sizes) < 5 * hot.piece  # each of the two words alone is followed by seven pieces
 
 
+def test_rounds_deal_everything_once(spark, monkeypatch):
+    """Each of the rounds deals about a third, all occurrences of a word in one; together they deal what one round would."""
+    monkeypatch.setattr(st, "BUCKET", 200)
+    docs = spark.createDataFrame(invented(), "doc_id long, text string")
+    v, _ = st._words(docs, "doc_id", "text")
+    numbered = docs.select(st.held_out(docs, "doc_id").alias("held_out"), "text").mapInArrow(st._numbered(spark.sparkContext.broadcast(v)), st.T.StructType([st.T.StructField("held_out", st.T.BooleanType()), *st.NUMBERED]))
+    numbered = numbered.withColumn("row", st.F.monotonically_increasing_id()).select("row", "held_out", "words", "others")
+    texts = numbered.filter("not held_out").select("words", "others")
+
+    def dealt(hot, turn):
+        rows = numbered.mapInArrow(st._deal(spark.sparkContext.broadcast((v, hot)), 4, turn), st.DEALT).collect()
+        return Counter(tuple(x) for r in rows for x in st._unpack(r.packed, r.n, 4 + st.EXTRA)[:-1].T.tolist())
+
+    whole = dealt(st._find_hot(v, texts, 4), 0)
+    hot = st._find_hot(v, texts, 4, st.ROUNDS)
+    parts = [dealt(hot, turn) for turn in range(hot.rounds)]
+    assert hot.rounds == 3 and sum(parts, Counter()) == whole
+    assert sum(len({x[0] for x in p}) for p in parts) == len({x[0] for x in whole})
+    assert max(p.total() for p in parts) < 0.5 * whole.total()
+
+
+def test_rare_contexts_are_dropped_on_the_way(spark, monkeypatch):
+    """Of all the pairs after hot words few are handed on, and all that are hot."""
+    monkeypatch.setattr(st, "BUCKET", 4000)
+    docs = spark.createDataFrame([(i, "a b " * 30 + " ".join(f"a u{i * k % 701}" for k in range(60))) for i in range(400)], "doc_id long, text string").coalesce(1)
+    v, _ = st._words(docs, "doc_id", "text")
+    numbered = docs.select("text").mapInArrow(st._numbered(spark.sparkContext.broadcast(v)), st.T.StructType(st.NUMBERED)).select("words", "others").coalesce(1)
+    hot = st.Hot(v.total)
+    a, b = (int(x) for x in v.numbers(st.hashes([b"a", b"b"])))
+    hot.known = {int(st._mix(st.np.zeros(1, int), st.np.array([n]))[0]): ((n,), int(v.c[n])) for n in (a, b)}
+    hot.sort()
+    found = numbered.mapInArrow(st._longer(spark.sparkContext.broadcast((v, hot)), 2), "s long, words array<long>, c long").collect()
+    assert {(a, b), (b, a)} <= {tuple(r.words) for r in found if r.c >= hot.least}
+    assert len(found) < 20
+
+
 def test_probabilities_sum_to_one():
     """In every context, over all known words and one unknown."""
     word, states, counts = plain_model(invented(), 4)
