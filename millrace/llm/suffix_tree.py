@@ -19,8 +19,8 @@ occurrence of a symbol is dealt, with the words before it, by its last word into
 buckets of about BUCKET occurrences; there the states are found and the symbols
 scored, without the rest of the tree. A context with half a bucket of occurrences is
 dealt by the word before it, and so on; its own counts, summed up beforehand, go to
-all buckets of its occurrences. No task holds more than some buckets' worth, and
-only the vocabulary and the contexts dealt on, of which there are at most 2 ** 21 at
+all buckets of its occurrences. No task holds more than some buckets' worth, packed, and
+unpacks about half a bucket's worth at a time, by last words; only the vocabulary and the contexts dealt on, of which there are at most 2 ** 21 at
 each depth, are sent to all tasks.
 
 Dealt occurrences take more disk than the texts. So they are dealt in ROUNDS: by
@@ -53,6 +53,8 @@ DISCOUNT, SMOOTH = 0.75, 5.0
 DEPTH = 4
 #: Occurrences in a bucket; there are at most 2 ** 20 buckets, which grow beyond that.
 BUCKET, BUCKETS = 1_000_000, 1 << 20
+#: Classes of last words, by which a task takes a bucket bit by bit.
+CLASSES = 256
 #: Rounds in which occurrences are dealt, if there are as many buckets.
 ROUNDS = 3
 #: Distinct words, or occurrences, that a task gathers before it hands them on.
@@ -313,8 +315,22 @@ def _longer(sent, depth: int):
     return run
 
 
+#: Counts of a hot context's symbols (packed columns of these and their counts), in parts by symbol.
+COUNTED = "s long, part int, n int, packed binary"
+
+
+def _counted(hot: Hot, keys: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """Counts as COUNTED. keys: place of the hot context and symbol."""
+    place, w = keys >> 32, keys & 0xFFFFFFFF
+    found, owner = np.unique((place << 32) | w % hot.parts[place], return_inverse=True)
+    parts = np.split(np.argsort(owner, kind="stable"), np.cumsum(np.bincount(owner))[:-1])
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    columns = (hot.s[found >> 32], found & 0xFFFFFFFF, [len(p) for p in parts], [_pack(np.stack([w[p], c[p]])) for p in parts])
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["s", "part", "n", "packed"])
+
+
 def _continuations(sent, depth: int, turn: int):
-    """A function for mapInArrow: counts of (hot context, symbol) of a round."""
+    """A function for mapInArrow: COUNTED of the (hot context, symbol) of a round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, hot = sent.value
@@ -328,10 +344,10 @@ def _continuations(sent, depth: int, turn: int):
             keys, owner = np.unique(np.concatenate([keys, *found]), return_inverse=True)
             c = np.bincount(owner, counts, len(keys)).astype(np.int64)
             if len(keys) > HELD:
-                yield _batch({"s": hot.s[keys >> 32], "w": keys & 0xFFFFFFFF, "c": c})
+                yield _counted(hot, keys, c)
                 keys, c = keys[:0], c[:0]
         if len(keys):
-            yield _batch({"s": hot.s[keys >> 32], "w": keys & 0xFFFFFFFF, "c": c})
+            yield _counted(hot, keys, c)
 
     return run
 
@@ -343,8 +359,8 @@ DEALT, EXTRA = "bucket int, n int, packed binary", 4
 def _dealt(buckets: np.ndarray, columns: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(buckets, kind="stable")
     found, starts = np.unique(buckets[order], return_index=True)
-    parts = np.split(columns[:, order], starts[1:], axis=1) if len(found) else []
-    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array([p.shape[1] for p in parts], pa.int32()), pa.array([_pack(p) for p in parts], pa.binary())], names=["bucket", "n", "packed"])
+    parts = np.split(order, starts[1:]) if len(found) else []
+    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array([len(p) for p in parts], pa.int32()), pa.array([_pack(columns[:, p]) for p in parts], pa.binary())], names=["bucket", "n", "packed"])
 
 
 def _deal(sent, depth: int, turn: int = 0):
@@ -352,7 +368,14 @@ def _deal(sent, depth: int, turn: int = 0):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, hot = sent.value
-        held, size = [], 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def dealt() -> pa.RecordBatch:
+            buckets, columns = np.concatenate([b for b, _ in held]), np.concatenate([c for _, c in held], axis=1)
+            held.clear()
+            return _dealt(buckets, columns)
+
         for batch in sliced(batches):
             before, symbols, text = _occurrences(v, depth, batch, turn, hot.rounds)
             row = batch.column("row").to_numpy()[text]
@@ -368,34 +391,29 @@ def _deal(sent, depth: int, turn: int = 0):
                 bucket[at] = (contexts[d - 1][at] % hot.buckets + spread % np.minimum(hot.parts[place[at]], hot.buckets)) % hot.buckets
             held.append((bucket, np.concatenate([before, [symbols, row, learned, level]])))
             size += len(bucket)
+            del before, symbols, text, row, learned, contexts, level, place, bucket
             if size > HELD:
-                yield _dealt(np.concatenate([b for b, _ in held]), np.concatenate([c for _, c in held], axis=1))
-                held, size = [], 0
+                yield dealt()
+                size = 0
         if size:
-            yield _dealt(np.concatenate([b for b, _ in held]), np.concatenate([c for _, c in held], axis=1))
+            yield dealt()
 
     return run
 
 
 def _spread(sent, depth: int):
-    """A function for mapInArrow: counts (s, w, c) of hot contexts as DEALT columns, for all buckets that need them."""
+    """A function for applyInArrow: a part of a hot context's COUNTED, summed up, as DEALT columns for all buckets that need it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(group: pa.Table) -> pa.Table:
         _, hot = sent.value
-        targets: dict[int, list[int]] = {}
-        for batch in batches:
-            s, w, c = (batch.column(k).to_numpy() for k in range(3))
-            for one in np.unique(s).tolist():
-                words = hot.known[one][0]
-                if one not in targets:
-                    targets[one] = sorted(hot.targets(words))
-                own = s == one
-                columns = np.full((depth + EXTRA, int(own.sum())), NONE, np.int64)
-                columns[: len(words)] = np.array(words)[:, None]
-                columns[depth], columns[depth + 1], columns[depth + 2], columns[depth + 3] = w[own], -1, c[own], len(words) - 1
-                packed = _pack(columns)
-                to = targets[one]
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([columns.shape[1]] * len(to), pa.int32()), pa.array([packed] * len(to), pa.binary())], names=["bucket", "n", "packed"])
+        words = hot.known[group["s"][0].as_py()][0]
+        w, c = np.concatenate([_unpack(packed.as_py(), n.as_py(), 2) for n, packed in zip(group["n"], group["packed"], strict=True)], axis=1)
+        w, owner = np.unique(w, return_inverse=True)
+        columns = np.full((depth + EXTRA, len(w)), NONE, np.int64)
+        columns[: len(words)] = np.array(words)[:, None]
+        columns[depth], columns[depth + 1], columns[depth + 2], columns[depth + 3] = w, -1, np.bincount(owner, c), len(words) - 1
+        packed, to = _pack(columns), sorted(hot.targets(words))
+        return pa.table({"bucket": pa.array(to, pa.int32()), "n": pa.array([len(w)] * len(to), pa.int32()), "packed": pa.array([packed] * len(to), pa.binary())})
 
     return run
 
@@ -412,16 +430,18 @@ def probabilities(before: np.ndarray, symbols: np.ndarray, counts: np.ndarray, f
     An occurrence adds its count to its contexts longer than first and no longer than last.
     """
     low = root[symbols]
-    live = np.arange(len(symbols))
-    for d, contexts in enumerate(_contexts(before)):
-        live = live[before[d, live] != NONE]
+    live, contexts = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
+    for d, words in enumerate(before):
+        some = words[live] != NONE
+        live = live[some]
         if not len(live):
             break
+        contexts = _mix(contexts[some], words[live])
         weight = np.where((first[live] <= d) & (last[live] > d), counts[live], 0)
-        s, owner = np.unique(contexts[live], return_inverse=True)
+        s, owner = np.unique(contexts, return_inverse=True)
         n = np.bincount(owner, weight, len(s))
         some = n[owner] >= CONTEXT
-        live, weight, owner = live[some], weight[some], owner[some]
+        live, contexts, weight, owner = live[some], contexts[some], weight[some], owner[some]
         pairs, at, pair = np.unique((owner << 32) | symbols[live], return_index=True, return_inverse=True)
         of, under, c = pairs >> 32, low[live][at], np.bincount(pair, weight, len(pairs))
         seen = c > 0
@@ -434,20 +454,49 @@ def probabilities(before: np.ndarray, symbols: np.ndarray, counts: np.ndarray, f
     return low
 
 
+def _summed(row: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rows, at = np.unique(row, return_inverse=True)
+    return rows, np.bincount(at, gain, len(rows)).astype(float)
+
+
+def _shares(parts: list[np.ndarray], most: int) -> list[tuple[int, int]]:
+    """Ranges of classes that hold most occurrences at most, or are one class. parts: the classes of occurrences."""
+    shares, size = [(0, 0)], 0
+    for k, n in enumerate(sum(np.bincount(part, minlength=CLASSES) for part in parts).tolist()):
+        if size and size + n > most:
+            shares.append((k, k))
+            size = 0
+        shares[-1], size = (shares[-1][0], k + 1), size + n
+    return shares
+
+
+def _part(bucket: list[tuple[int, bytes]], depth: int, most: int) -> Iterator[np.ndarray]:
+    """The columns of a bucket's occurrences, about most at a time, all of a last word together. bucket: packed columns, which are unpacked for each time again."""
+
+    def unpacked():
+        return (_unpack(packed, n, depth + EXTRA) for n, packed in bucket)
+
+    if sum(n for n, _ in bucket) <= most:
+        yield np.concatenate(list(unpacked()), axis=1)
+        return
+    classes = [(_mix(columns[0], columns[0]).view(np.uint64) % np.uint64(CLASSES)).astype(np.uint8) for columns in unpacked()]
+    for low, high in _shares(classes, most):
+        yield np.concatenate([columns[:, (of >= low) & (of < high)] for of, columns in zip(classes, unpacked(), strict=True)], axis=1)
+
+
 def _scorer(sent, depth: int):
     """A function for applyInArrow: by row, what a bucket's states add to the root's log10 probabilities."""
 
     def run(group: pa.Table) -> pa.Table:
-        root = sent.value[0].root
-        parts = [_unpack(packed.as_py(), n.as_py(), depth + EXTRA) for n, packed in zip(group["n"], group["packed"], strict=True)]
-        columns = np.concatenate(parts, axis=1)
-        del parts
-        before, (symbols, row, counts, first) = columns[:depth], columns[depth:]
-        last = np.where(row < 0, first + 1, depth)
-        gain = np.log10(probabilities(before, symbols, counts, first, last, root) / root[symbols])
-        some = np.flatnonzero((row >= 0) & (gain != 0))
-        rows, at = np.unique(row[some], return_inverse=True)
-        return pa.table({"row": rows, "gain": np.bincount(at, gain[some], len(rows)).astype(float)})
+        v, hot = sent.value
+        rows, gains = np.empty(0, np.int64), np.empty(0)
+        for columns in _part(list(zip(group["n"].to_pylist(), group["packed"].to_pylist(), strict=True)), depth, hot.least):
+            before, (symbols, row, counts, first) = columns[:depth], columns[depth:]
+            last = np.where(row < 0, first + 1, depth)
+            gain = np.log10(probabilities(before, symbols, counts, first, last, v.root) / v.root[symbols])
+            some = np.flatnonzero((row >= 0) & (gain != 0))
+            rows, gains = _summed(np.concatenate([rows, row[some]]), np.concatenate([gains, gain[some]]))
+        return pa.table({"row": rows, "gain": gains})
 
     return run
 
@@ -479,8 +528,8 @@ def _gains(numbered: DataFrame, texts: DataFrame, sent, depth: int, turn: int) -
     _, hot = sent.value
     dealt = numbered.select("row", "held_out", "words", "others").mapInArrow(_deal(sent, depth, turn), DEALT)
     if hot.known:
-        summed = texts.mapInArrow(_continuations(sent, depth, turn), "s long, w long, c long").groupBy("s", "w").agg(F.sum("c").alias("c"))
-        dealt = dealt.union(summed.mapInArrow(_spread(sent, depth), DEALT))
+        counted = texts.mapInArrow(_continuations(sent, depth, turn), COUNTED)
+        dealt = dealt.union(counted.groupBy("s", "part").applyInArrow(_spread(sent, depth), DEALT))
     gains = dealt.repartition(hot.buckets, "bucket").groupBy("bucket").applyInArrow(_scorer(sent, depth), "row long, gain double")
     return cut(gains.groupBy("row").agg(F.sum("gain").alias("gain")))
 

@@ -1,9 +1,12 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import suffix_tree as st
@@ -157,6 +160,45 @@ def test_rounds_deal_everything_once(spark, monkeypatch):
     assert max(p.total() for p in parts) < 0.5 * whole.total()
 
 
+def test_a_bucket_is_scored_bit_by_bit(monkeypatch):
+    """A bucket of many pieces' worth takes less memory than its columns, and has the gains of the whole."""
+    monkeypatch.setattr(st, "BUCKET", 20_000)
+    rng, n = np.random.default_rng(3), 300_000
+    before, symbols = rng.integers(0, 40, (4, n)), rng.integers(0, 40, n)
+    before[0] += 40 * rng.integers(0, 50, n)
+    row = np.arange(n) // 100
+    columns = np.concatenate([before, [symbols, row, np.ones(n, int), np.zeros(n, int)]])
+    v, hot = st.Words(np.arange(2000), np.full(2000, n // 2000), n, 2000), st.Hot(n)
+    group = pa.Table.from_batches([st._dealt(np.zeros(n // 30, int), part) for part in np.split(columns, 30, axis=1)])
+
+    class Sent:
+        value = (v, hot)
+
+    tracemalloc.start()
+    found = st._scorer(Sent, 4)(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    gain = np.log10(st.probabilities(before, symbols, np.ones(n, int), np.zeros(n, int), np.full(n, 4), v.root) / v.root[symbols])
+    assert peak < columns.nbytes
+    assert dict(zip(found["row"].to_pylist(), found["gain"].to_pylist(), strict=True)) == pytest.approx(dict(enumerate(np.bincount(row, gain).tolist())), rel=1e-9, abs=1e-9)
+
+
+def test_counts_of_hot_contexts_are_handed_on_packed(spark, monkeypatch):
+    """A task has a row for each part of a hot context, and no count is lost."""
+    monkeypatch.setattr(st, "BUCKET", 200)
+    docs = spark.createDataFrame(invented(), "doc_id long, text string").coalesce(1)
+    v, _ = st._words(docs, "doc_id", "text")
+    texts = docs.filter(~st.held_out(docs, "doc_id")).select("text").mapInArrow(st._numbered(spark.sparkContext.broadcast(v)), st.T.StructType(st.NUMBERED)).select("words", "others")
+    hot = st._find_hot(v, texts, 4)
+    rows = texts.mapInArrow(st._continuations(spark.sparkContext.broadcast((v, hot)), 4, 0), st.COUNTED).collect()
+    sums = Counter()
+    for r in rows:
+        sums[r.s] += int(st._unpack(r.packed, r.n, 2)[1].sum())
+    assert len(rows) == len({(r.s, r.part) for r in rows}) <= hot.parts.sum()
+    one = {s: c for s, (words, c) in hot.known.items() if len(words) == 1}
+    assert one and {s: sums[s] for s in one} == one
+
+
 def test_rare_contexts_are_dropped_on_the_way(spark, monkeypatch):
     """Of all the pairs after hot words few are handed on, and all that are hot."""
     monkeypatch.setattr(st, "BUCKET", 4000)
