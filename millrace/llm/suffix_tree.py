@@ -501,6 +501,25 @@ def _scorer(sent, depth: int):
     return run
 
 
+def _handed(sent, depth: int):
+    """A function for applyInArrow: what _scorer finds, as packed columns (row, bits of the gain) in as many classes of rows as there are buckets."""
+    scored = _scorer(sent, depth)
+
+    def run(group: pa.Table) -> pa.Table:
+        rows, gains = (column.to_numpy() for column in scored(group).columns)
+        return pa.Table.from_batches([_dealt(rows % sent.value[1].buckets, np.stack([rows, gains.view(np.int64)]))])
+
+    return run
+
+
+def _totals(group: pa.Table) -> pa.Table:
+    """For applyInArrow: the sums (row, gain) of a class of rows, from what all buckets handed on."""
+    parts = [_unpack(packed.as_py(), n.as_py(), 2) for n, packed in zip(group["n"], group["packed"], strict=True)]
+    rows, gains = np.concatenate(parts, axis=1)
+    rows, gains = _summed(rows, gains.view(np.float64))
+    return pa.table({"row": rows, "gain": gains})
+
+
 def _find_hot(v: Words, texts: DataFrame, depth: int, rounds: int = 1) -> Hot:
     """The hot contexts. texts: numbered training texts."""
     hot = Hot(v.total, rounds)
@@ -530,8 +549,8 @@ def _gains(numbered: DataFrame, texts: DataFrame, sent, depth: int, turn: int) -
     if hot.known:
         counted = texts.mapInArrow(_continuations(sent, depth, turn), COUNTED)
         dealt = dealt.union(counted.groupBy("s", "part").applyInArrow(_spread(sent, depth), DEALT))
-    gains = dealt.repartition(hot.buckets, "bucket").groupBy("bucket").applyInArrow(_scorer(sent, depth), "row long, gain double")
-    return cut(gains.groupBy("row").agg(F.sum("gain").alias("gain")))
+    handed = dealt.repartition(hot.buckets, "bucket").groupBy("bucket").applyInArrow(_handed(sent, depth), DEALT)
+    return cut(handed.groupBy("bucket").applyInArrow(_totals, "row long, gain double"))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:

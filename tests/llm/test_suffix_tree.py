@@ -183,6 +183,30 @@ def test_a_bucket_is_scored_bit_by_bit(monkeypatch):
     assert dict(zip(found["row"].to_pylist(), found["gain"].to_pylist(), strict=True)) == pytest.approx(dict(enumerate(np.bincount(row, gain).tolist())), rel=1e-9, abs=1e-9)
 
 
+def test_gains_are_handed_on_packed(monkeypatch):
+    """A bucket has a row for each class of texts, whatever the number of texts, and their sums are the gains of all buckets."""
+    monkeypatch.setattr(st, "BUCKET", 2000)
+    rng, n = np.random.default_rng(4), 6000
+    before = rng.integers(0, 9, (4, n))
+    columns = np.concatenate([before, [(before[0] + 1) % 9, np.arange(n) // 3 << 33 | np.arange(n) % 3, np.ones(n, int), np.zeros(n, int)]])
+    v, hot = st.Words(np.arange(9), np.full(9, n // 9), n, 9), st.Hot(n)
+    groups = [pa.Table.from_batches([st._dealt(np.full(n // 2, k), part)]) for k, part in enumerate(np.split(columns, 2, axis=1))]
+
+    class Sent:
+        value = (v, hot)
+
+    want = Counter()
+    for group in groups:
+        found = st._scorer(Sent, 4)(group)
+        want.update(dict(zip(found["row"].to_pylist(), found["gain"].to_pylist(), strict=True)))
+    handed = [st._handed(Sent, 4)(group) for group in groups]
+    assert hot.buckets == 3 and len(want) > 1000 and all(h.num_rows <= hot.buckets for h in handed)
+    both = pa.concat_tables(handed)
+    classes = [st._totals(both.filter(pa.array([b == k for b in both["bucket"].to_pylist()]))) for k in range(hot.buckets)]
+    got = [pair for t in classes for pair in zip(t["row"].to_pylist(), t["gain"].to_pylist(), strict=True)]
+    assert len(got) == len(want) and dict(got) == pytest.approx(dict(want), rel=1e-12)
+
+
 def test_counts_of_hot_contexts_are_handed_on_packed(spark, monkeypatch):
     """A task has a row for each part of a hot context, and no count is lost."""
     monkeypatch.setattr(st, "BUCKET", 200)
