@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import cut, sliced
+from millrace.llm.common import cut, shuffles_dropped, sliced
 from millrace.llm.sentence_spans import WORD
 
 GRAM, REPEATS, PICKS, SIMILARITY = 5, 32, 3, 0.8
@@ -445,14 +445,15 @@ def _best_first(pairs: DataFrame, texts: DataFrame) -> DataFrame | None:
 
 def near_roots(nodes: DataFrame) -> DataFrame | None:
     """(node, root) of the texts that are linked: all that share a tuple and are alike are in one component. None if there is no link."""
-    single = cut(sketched(nodes))
-    met = cut(buckets(single))
-    texts = cut(_texts(nodes, single, met))
-    drawn = cut(candidates(single, met))
-    roots = _best_first(drawn, texts)
-    rare = cut(rarest(texts.join(mixed_texts(single, roots, met), "row", "left_semi")))
-    others = unmet(single, roots, rare).select("node", "pivot").distinct().join(drawn.select("node", "pivot"), ["node", "pivot"], "left_anti")
-    return joined_components(roots, cut(_verify(others, texts)))
+    with shuffles_dropped(nodes.sparkSession):  # each step is cut, so none needs the shuffles of one before
+        single = cut(sketched(nodes))
+        met = cut(buckets(single))
+        texts = cut(_texts(nodes, single, met))
+        drawn = cut(candidates(single, met))
+        roots = _best_first(drawn, texts)
+        rare = cut(rarest(texts.join(mixed_texts(single, roots, met), "row", "left_semi")))
+        others = unmet(single, roots, rare).select("node", "pivot").distinct().join(drawn.select("node", "pivot"), ["node", "pivot"], "left_anti")
+        return joined_components(roots, cut(_verify(others, texts)))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

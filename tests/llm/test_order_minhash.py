@@ -1,11 +1,14 @@
+import glob
 import hashlib
 import random
+import time
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm import order_minhash as om
+from millrace.llm.common import FILE_CLEANUP
 
 
 def plain_distance(a, b):
@@ -182,6 +185,20 @@ def test_components_grow_with_links(spark):
     assert len(found) == roots.count() and found == want
 
 
+def test_no_shuffle_files_stay_behind(spark):
+    folders = [str(d) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {f for top in folders for f in glob.glob(f"{top}/*/shuffle_*")}
+    nodes = om._nodes(spark.createDataFrame(corpus(2), "doc_id long, text string").repartition(4), "doc_id", "text")
+    setting = spark.conf.get(FILE_CLEANUP)
+    before = files()
+    assert om.near_roots(nodes) is not None
+    end = time.time() + 10
+    while files() - before and time.time() < end:  # they go a moment later
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(FILE_CLEANUP) == setting
+
+
 def test_query(spark):
     from millrace.llm.queries import QUERIES
 
